@@ -36,11 +36,11 @@ from avrolith.llm.common import lookup_join, materialize
 MIN_GROUP = 100
 SHARE = 0.75
 STEPS = 3
-#: Squared distance beyond which a text is rejected.
-CUTOFF = 60.0
+#: Squared distance beyond which a text is rejected: chi2(5) exceeds it once in 10,000 times.
+CUTOFF = 25.74
 #: For SHARE 0.75 and 5 dimensions: 0.75 / P(chi2(7) <= q) with P(chi2(5) <= q) = 0.75.
 CONSISTENCY = 1.41
-FLOORS = (0.9, 0.12, 0.18, 0.6, 0.2)
+FLOORS = (0.9, 0.12, 0.11, 0.6, 0.2)
 DIMENSIONS = len(FLOORS)
 _BLANK = r"\\x20\\x09-\\x0D"
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
