@@ -18,8 +18,9 @@ estimate stays above the margin with more than 5 standard deviations.
 Skew: copies are one class before anything is paired; bucket sizes are
 pre-aggregated and come back by lookup_join; a large bucket is cut into blocks
 of about BLOCK members, each block is joined into components by itself, and only
-blocks whose members are still in different components are compared crosswise. No
-bucket is dropped or capped, and no group is expanded into all its pairs.
+blocks whose members are still in different components are compared crosswise, within
+a task, which passes on only links that join components. No bucket is dropped or
+capped, and no group is expanded into rows for its pairs.
 
 Defined results: null and empty texts have an empty set, are linked with nothing
 and form their own components; repeated rows have one component_id; an empty
@@ -46,7 +47,7 @@ ROWS = 5
 BASE = 1.2
 RATE = 20.0
 MARGIN = 0.17
-BLOCK = 1024
+BLOCK = 512
 
 # --- shingles ---------------------------------------------------------------
 
@@ -272,7 +273,7 @@ def _grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[dict]:
     table = None
     for batch in batches:
         held.append(batch)
-        if sum(b.num_rows for b in held) < 4 * BLOCK:
+        if sum(b.num_rows for b in held) < 4 * BLOCK and sum(b.nbytes for b in held) < 32 << 20:
             continue
         table = pa.Table.from_batches(held)
         starts, ends, rest = groups(table, False)
@@ -292,10 +293,12 @@ def _slices(table: pa.Table, starts, ends):
         if pa.types.is_binary(c.type):
             raw, off = text_buffers(c)
             columns[name] = raw[off[0] : off[-1]].reshape(-1, M)
+        elif pa.types.is_string(c.type) or pa.types.is_large_string(c.type):
+            columns[name] = text_buffers(c)
         else:
             columns[name] = c.to_numpy()
     for a, b in zip(starts, ends):
-        yield {name: c[a:b] for name, c in columns.items()}
+        yield {name: (c[0], c[1][a : b + 1]) if isinstance(c, tuple) else c[a:b] for name, c in columns.items()}
 
 
 def _pairs_out(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -317,22 +320,86 @@ def _forests(threshold: int):
     return run
 
 
-def _crosswise(threshold: int):
-    """For groups (bucket, block pair): the pairs of members of different components that may be linked."""
+def _wanted(threshold: int):
+    """For groups (bucket, block pair): the members that may be linked with one of another
+    component, by pairs that share no earlier band (those are found there)."""
     least = threshold / 100 - MARGIN
 
     def run(batches):
+        out: list[tuple] = []
         for g in _grouped(batches, 3):
-            rep, n, regs, comp, block = (g[c] for c in ("rep", "n", "regs", "comp", "block"))
-            across = g["i"][0] != g["j"][0]
-            pairs: list[tuple[int, int]] = []
+            rep, n, regs, comp = (g[c] for c in ("rep", "n", "regs", "comp"))
+            if (comp == comp[0]).all():
+                continue
+            band = int(g["band"][0])
+            mark = np.zeros(len(rep), bool)
             for x in range(len(rep)):
-                other = np.flatnonzero((comp > comp[x]) & ((block != block[x]) if across else True))
+                other = np.flatnonzero(comp > comp[x])
+                if len(other) and band:
+                    early = (regs[other, : band * ROWS] == regs[x, : band * ROWS]).reshape(len(other), band, ROWS).all(axis=2).any(axis=1)
+                    other = other[~early]
                 if len(other):
                     est = _estimates(regs[other], n[other], np.broadcast_to(regs[x], (len(other), M)), np.full(len(other), n[x]), threshold)
-                    pairs.extend((int(rep[x]), int(rep[y])) for y in other[est >= least])
-            if pairs:
-                yield _pairs_out(pairs)
+                    hit = other[est >= least]
+                    mark[hit] = True
+                    mark[x] |= len(hit) > 0
+            at = np.flatnonzero(mark)
+            if len(at):
+                out.append((np.full(len(at), g["bucket"][0]), np.full(len(at), g["i"][0]), np.full(len(at), g["j"][0]), comp[at], rep[at]))
+        columns = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["bucket", "i", "j", "comp", "rep"])
+
+    return run
+
+
+def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all pairs of sets, exactly, by matrix products over
+    blocks of the elements that several sets have."""
+    k = len(sets)
+    owner = np.repeat(np.arange(k), [len(x) for x in sets])
+    elements = np.concatenate(sets)
+    order = np.argsort(elements, kind="stable")
+    elements, owner = elements[order], owner[order]
+    new = np.ones(len(elements), bool)
+    new[1:] = elements[1:] != elements[:-1]
+    number = np.cumsum(new) - 1
+    often = np.bincount(number) > 1
+    keep = often[number]
+    owner, number = owner[keep], (np.cumsum(often) - 1)[number[keep]]
+    out = np.zeros((k, k), np.float32)
+    for first in range(0, int(number[-1]) + 1 if len(number) else 0, 4096):
+        a, b = np.searchsorted(number, [first, first + 4096])
+        part = np.zeros((k, 4096), np.float32)
+        part[owner[a:b], number[a:b] - first] = 1
+        out += part @ part.T
+    return out.astype(np.int64)
+
+
+def _crosswise(k: int, threshold: int):
+    """For groups (bucket, block pair) with texts: links that join members of different
+    components, verified on the full sets; fewer than there are members."""
+
+    def run(batches):
+        pairs: list[tuple[int, int]] = []
+        for g in _grouped(batches, 3):
+            rep, comp = g["rep"], g["comp"]
+            elements, begins = shingle_sets(*g["text"], k)
+            sizes = np.diff(begins)
+            shared = shared_counts([elements[begins[x] : begins[x + 1]] for x in range(len(rep))])
+            good = (100 * shared >= threshold * (sizes[:, None] + sizes[None, :] - shared)) & (comp[:, None] < comp[None, :]) & (shared > 0)
+            joined: dict[int, int] = {}
+
+            def find(c):
+                while joined.setdefault(c, c) != c:
+                    c = joined[c]
+                return c
+
+            for x, y in zip(*np.nonzero(good)):
+                a, b = find(int(comp[x])), find(int(comp[y]))
+                if a != b:
+                    joined[max(a, b)] = min(a, b)
+                    pairs.append((int(rep[x]), int(rep[y])))
+        yield _pairs_out(pairs)
 
     return run
 
@@ -417,10 +484,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = materialize(sets.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("regs").alias("regs")), "classes")
 
     bands = [F.xxhash64(F.lit(i), F.substring("regs", i * ROWS + 1, ROWS)) for i in range(M // ROWS)]
-    entries = classes.select("rep", F.explode(F.array(*bands)).alias("bucket"))
+    entries = classes.select("rep", F.posexplode(F.array(*bands)).alias("band", "bucket"))
     sizes = materialize(entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "buckets")
-    members = lookup_join(entries.withColumn("spread", F.xxhash64("rep", "bucket")), sizes, ["bucket"], "size", classes.count() * (M // ROWS), "spread")
-    members = members.select("rep", "bucket", F.expr("pmod(xxhash64(rep, bucket, 7), cast(ceil(size / %d) as int))" % BLOCK).cast("int").alias("block"), F.expr("cast(ceil(size / %d) as int)" % BLOCK).alias("blocks"))
+    n_entries = classes.count() * (M // ROWS)
+    members = lookup_join(entries.withColumn("spread", F.xxhash64("rep", "bucket")), sizes, ["bucket"], "size", n_entries, "spread")
+    blocks = f"cast(ceil(size / {BLOCK}) as int)"
+    members = members.select("rep", "band", "bucket", F.expr(f"cast(pmod(xxhash64(rep, bucket, 7), {blocks}) as int)").alias("block"), F.expr(blocks).alias("blocks"))
     members = materialize(members, "members")
 
     full = members.join(classes.select("rep", "n", "regs"), "rep")
@@ -431,12 +500,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # What is left: buckets with members in different components.
     labelled = materialize(members.join(comps.withColumnRenamed("id", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep")), "labelled")
     open_ = labelled.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi").select("bucket", "size")
-    open_ = materialize(open_, "open")
-    left = lookup_join(labelled.withColumn("spread", F.xxhash64("rep", "bucket")), open_, ["bucket"], "size", classes.count() * (M // ROWS), "spread")
+    left = lookup_join(labelled.withColumn("spread", F.xxhash64("rep", "bucket")), materialize(open_, "open"), ["bucket"], "size", n_entries, "spread")
     left = left.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    left = left.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "comp", "rep").join(classes.select("rep", "n", "regs"), "rep")
-    left = left.select("bucket", "i", "j", "block", "comp", "rep", "n", "regs").repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    more = _links(left.mapInArrow(_crosswise(threshold), "a long, b long"), keyed, k, threshold)
+    left = left.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "band", "comp", "rep").join(classes.select("rep", "n", "regs"), "rep")
+    left = left.select("bucket", "i", "j", "band", "comp", "rep", "n", "regs").repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    wanted = materialize(left.mapInArrow(_wanted(threshold), "bucket long, i int, j int, comp long, rep long"), "wanted")
+    of = materialize(keyed.join(wanted.select(F.col("rep").alias("id")).distinct(), "id").select(F.col("id").alias("rep"), "text"), "texts")
+    full = wanted.join(of, "rep").select("bucket", "i", "j", "comp", "rep", "text").repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    more = materialize(full.mapInArrow(_crosswise(k, threshold), "a long, b long"), "more-links")
     comps = materialize(components(links.union(more)), "components")
 
     classes = classes.select("n", "s1", "s2", "rep", "copies").join(comps.withColumnRenamed("id", "rep"), "rep", "left")
