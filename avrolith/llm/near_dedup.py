@@ -48,6 +48,8 @@ BASE = 1.2
 RATE = 20.0
 MARGIN = 0.17
 BLOCK = 512
+#: Ids (of 8 bytes) that may be broadcast.
+BROADCAST_IDS = 1_000_000
 
 # --- shingles ---------------------------------------------------------------
 
@@ -427,13 +429,21 @@ def _verify(k: int, threshold: int):
     return run
 
 
+def _texts(keyed: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, text) of the ids. Up to BROADCAST_IDS of them are broadcast, so that the other
+    texts are not shuffled to be left out; beyond, it is a shuffle join."""
+    ids = materialize(ids, "ids")
+    few = ids.count() <= BROADCAST_IDS
+    return materialize(keyed.join(F.broadcast(ids) if few else ids.hint("merge"), "id"), "texts")
+
+
 def _links(pairs: DataFrame, keyed: DataFrame, k: int, threshold: int) -> DataFrame:
     """The pairs (a, b) of class representatives that are linked, on their full texts."""
     pairs = materialize(pairs.distinct(), "pairs")
     if pairs.isEmpty():
         return pairs
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    of = materialize(keyed.join(wanted, "id"), "texts")
+    of = _texts(keyed, wanted)
     # A text that very many pairs share is split by Spark's skew join: both sides are plain shuffles.
     text_a = of.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
     text_b = of.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
@@ -505,7 +515,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     left = left.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "band", "comp", "rep").join(classes.select("rep", "n", "regs"), "rep")
     left = left.select("bucket", "i", "j", "band", "comp", "rep", "n", "regs").repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
     wanted = materialize(left.mapInArrow(_wanted(threshold), "bucket long, i int, j int, comp long, rep long"), "wanted")
-    of = materialize(keyed.join(wanted.select(F.col("rep").alias("id")).distinct(), "id").select(F.col("id").alias("rep"), "text"), "texts")
+    of = _texts(keyed, wanted.select(F.col("rep").alias("id")).distinct()).withColumnRenamed("id", "rep")
     full = wanted.join(of, "rep").select("bucket", "i", "j", "comp", "rep", "text").repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
     more = materialize(full.mapInArrow(_crosswise(k, threshold), "a long, b long"), "more-links")
     comps = materialize(components(links.union(more)), "components")
