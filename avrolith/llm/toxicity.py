@@ -33,12 +33,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from avrolith.llm.common import mix64, slices, text_buffers
+from avrolith.llm.common import materialize, mix64, slices, text_buffers
 from avrolith.llm.language_id import CLASSES, GRAMS, _letter_classes, gram_numbers
 
 FEATURES = 1 << 20
 CALIBRATION = 20_000
 THRESHOLD = 0.7
+#: Labels (of 12 bytes) that may be broadcast.
+BROADCAST_LABELS = 1_000_000
 BEGINNINGS = (4, 5, 6, 7, 8)  # bytes
 _SLICE = 1 << 20
 
@@ -362,6 +364,9 @@ def score(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col
     model_of = _model_of(counts)
 
     marks = labelled.where("toxic is not null").groupBy(F.col(id_col).cast("long").alias("l_id")).agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
+    marks = materialize(marks, "labels")
+    if marks.count() <= BROADCAST_LABELS:  # else a shuffle join
+        marks = F.broadcast(marks)
     known = rows.join(marks, F.col("doc_id") == F.col("l_id")).select("text", "toxic", "doc_id")
     table = known.select("text", "toxic").mapInArrow(_count_features(model_of), "feature int, other long, toxic long").groupBy("feature").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic"))
     table = table.where("feature = -1 or toxic >= 3").toArrow()
