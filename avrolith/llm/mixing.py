@@ -98,9 +98,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", wei
     blocks = F.expr(f"(n + {block_rows - 1}) div {block_rows}")
 
     # The mix ends with the slot at which the last source has had all its blocks.
-    last = sources.withColumn("last", blocks - 1).join(round_.select("__s", "slots", "j", "offset"), "__s").where("j = last % w").select(F.expr("(last div w) * slots + offset + 1").alias("end")).agg(F.max("end").alias("end"))
+    last = sources.withColumn("last", blocks - 1).join(round_.select("__s", "slots", "j", "offset"), "__s").where("j = last % w").select(F.expr("(last div w) * slots + offset + 1").alias("end")).agg(F.max("end")).first()[0] or 0
     # Blocks of each source in the mix: whole rounds, and what the last round still gives.
-    had = round_.crossJoin(F.broadcast(last)).groupBy("__s", "w", "slots", "end").agg(F.sum(F.when(F.col("offset") < F.col("end") % F.col("slots"), 1).otherwise(0)).alias("part"))
+    had = round_.withColumn("end", F.lit(last).cast("long")).groupBy("__s", "w", "slots", "end").agg(F.sum(F.when(F.col("offset") < F.col("end") % F.col("slots"), 1).otherwise(0)).alias("part"))
     had = had.select("__s", "slots", F.expr("(end div slots) * w + part").alias("given")).join(sources.withColumn("__blocks", blocks), "__s").select("__s", F.col("w").alias("__w"), F.col("slots").alias("__slots"), F.col("given").alias("__given"), "__blocks")
 
     number = Window.partitionBy("__s", "__h").orderBy(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), id_col)

@@ -58,11 +58,11 @@ def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url
     rules = rules.select(F.sha2(expr, 256).alias("r_digest"), F.substring(F.sha2(expr, 256), 1, HASH_PREFIX).alias("r_prefix"), F.concat("host", "path").alias("rule"), F.length("host").alias("r_host"), "verdict", F.length("path").alias("r_len"))
     if rules.count() <= BROADCAST_RULES:
         rules = F.broadcast(rules)
-    lengths = rules.agg(F.sort_array(F.collect_set("r_len")).alias("lengths"))  # as many as path lengths occur
+    lengths = sorted(r[0] for r in rules.select("r_len").distinct().collect())  # as many as path lengths occur
 
     labels = F.split("host", r"\.")
     suffixes = F.expr("transform(sequence(1, size(labels)), i -> array_join(slice(labels, i, size(labels) - i + 1), '.'))")
-    grid = urls.where("host <> ''").crossJoin(F.broadcast(lengths)).withColumn("labels", labels)  # lengths is one row
+    grid = urls.where("host <> ''").withColumn("labels", labels).withColumn("lengths", F.array(*map(F.lit, lengths)).cast("array<int>"))
     grid = grid.withColumn("prefixes", F.expr("transform(filter(lengths, n -> n <= length(path)), n -> substring(path, 1, n))"))
     hosts = grid.select("__url", "prefixes", F.explode(suffixes).alias("s"))
     parts = hosts.select("__url", "s", F.explode("prefixes").alias("p"))
