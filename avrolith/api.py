@@ -53,7 +53,7 @@ def scan_avro(
     max_block_size: int | None = DEFAULT_LIMIT,
     nanos: str = "micros",
     reader_schema=None,
-    split_bytes: int = plans.SPLIT_BYTES,
+    split_bytes: int | None = None,
     _mode: str = "rows",
 ) -> DataFrame:
     """A DataFrame over Avro container files.
@@ -62,12 +62,14 @@ def scan_avro(
     them here if few are needed. n_rows: rows in all, before any filter. row_index_name:
     first column, running over all files in order. include_file_paths: name of a last
     column with each row's file. ignore_errors: skip damage (see scan_avro_errors).
-    nanos: 'long' keeps nanosecond timestamps as numbers. reader_schema: evolve to it.
+    nanos: 'long' keeps nanosecond timestamps as numbers. split_bytes: size of a
+    partition's part of a file (default: by the input and the cores, 1 to 128 MB). reader_schema: evolve to it.
     buffer_blocks, buffer_bytes and read_chunk_size are accepted and have no effect.
     """
     _check(n_rows, row_index_offset, batch_size)
     paths = paths_of(source, glob, storage_options)
     found = plans.headers(spark, paths, storage_options)
+    split_bytes = split_bytes or plans.split_size(found, spark.sparkContext.defaultParallelism)
     record: Schema = plans.unified(found)
     picked = pick_columns(record, columns)
     if _mode == "errors" and picked is None:

@@ -11,6 +11,12 @@ SPLIT_BYTES = 128 << 20
 DRIVER_FILES = 64
 
 
+def split_size(found, cores: int) -> int:
+    """Two splits a core, of 1 MB to SPLIT_BYTES each."""
+    total = sum(size for _, _, _, size in found)
+    return min(SPLIT_BYTES, max(1 << 20, -(-total // (2 * max(1, cores)))))
+
+
 def headers(spark, paths: list[str], storage: dict | None) -> list[tuple[str, str, int, int]]:
     """(path, schema JSON, data start, size) of each file."""
 
