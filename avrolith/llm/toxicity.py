@@ -300,13 +300,21 @@ def log_ratios(other: np.ndarray, toxic: np.ndarray, n_other: int, n_toxic: int)
     return np.where((bound > 0) & (toxic >= 3), bound, 0).astype(np.float32)
 
 
+#: Log ratios from which a word counts as weakly, clearly and surely toxic.
+TIERS = (1.0, 2.5, 4.0)
+SUMS = len(TIERS) + 3
+_X = [f"x{i}" for i in range(SUMS)]
+
+
 def _sums(hashes, holds, text, count, weights):
-    """Of each text: the sum of its words' best ratios, that sum per word, the words that have one."""
+    """Of each text: its words by tier of their best ratio, the sum of the ratios, that
+    sum per word, and its words, all as logarithms."""
     value = np.where(holds, weights[_bucket(hashes)], 0).max(axis=1) if len(hashes) else np.zeros(0)
     words = np.bincount(text, minlength=count)
     total = np.bincount(text, weights=value, minlength=count)
-    strong = np.bincount(text, weights=(value > 1.5).astype(float), minlength=count)
-    return np.stack([np.log1p(total), np.log1p(200 * total / np.maximum(words, 20)), np.log1p(strong), np.log1p(words)], axis=1)
+    edges = [*TIERS, np.inf]
+    tiers = [np.bincount(text, weights=((value > a) & (value <= b)).astype(float), minlength=count) for a, b in zip(edges, edges[1:])]
+    return np.stack([*map(np.log1p, tiers), np.log1p(total), np.log1p(200 * total / np.maximum(words, 20)), np.log1p(words)], axis=1)
 
 
 def _fit(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -349,7 +357,7 @@ def _sum_rows(model_of, weights):
         for batch in batches:
             for a, count, hashes, holds, text in _features(batch.column(0), model):
                 x = _sums(hashes, holds, text, count, weights.value)
-                yield pa.RecordBatch.from_arrays([*[c.slice(a, count) for c in batch.columns[1:]], *[pa.array(x[:, i]) for i in range(4)]], names=[*batch.schema.names[1:], "x0", "x1", "x2", "x3"])
+                yield pa.RecordBatch.from_arrays([*[c.slice(a, count) for c in batch.columns[1:]], *[pa.array(x[:, i]) for i in range(SUMS)]], names=[*batch.schema.names[1:], *_X])
 
     return run
 
@@ -381,14 +389,14 @@ def score(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col
 
     share = min(1.0, calibration / (n_other + n_toxic))
     sample = known.where(F.pmod(F.xxhash64("doc_id", F.lit(77)), F.lit(1_000_000)) < int(share * 1_000_000))
-    got = sample.select("text", "toxic").mapInArrow(_sum_rows(model_of, shared), "toxic int, x0 double, x1 double, x2 double, x3 double").toArrow()
-    x, y = np.stack([got.column(f"x{i}").to_numpy() for i in range(4)], axis=1), got.column("toxic").to_numpy().astype(float)
+    got = sample.select("text", "toxic").mapInArrow(_sum_rows(model_of, shared), "toxic int, " + ", ".join(f"{x} double" for x in _X)).toArrow()
+    x, y = np.stack([got.column(f"x{i}").to_numpy() for i in range(SUMS)], axis=1), got.column("toxic").to_numpy().astype(float)
     order = np.lexsort((y, *x.T))
     fit = _fit(x[order], y[order])
     w, mean, scale = fit
 
-    summed = rows.mapInArrow(_sum_rows(model_of, shared), "doc_id long, x0 double, x1 double, x2 double, x3 double")
-    z = sum((F.lit(float(w[i] / scale[i])) * (F.col(f"x{i}") - float(mean[i])) for i in range(4)), F.lit(float(w[4])))
+    summed = rows.mapInArrow(_sum_rows(model_of, shared), "doc_id long, " + ", ".join(f"{x} double" for x in _X))
+    z = sum((F.lit(float(w[i] / scale[i])) * (F.col(f"x{i}") - float(mean[i])) for i in range(SUMS)), F.lit(float(w[SUMS])))
     scored = summed.select("doc_id", (1 / (1 + F.exp(-z))).alias("score"))
     return scored.select("doc_id", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
