@@ -2,7 +2,7 @@
 
 Each text becomes the set of its word shingles. A set's sketch holds, for each of
 M registers, the minimum of exponential variates of its elements, truncated
-to whole powers of BASE (one byte): mergeable, and equal for two sets with
+to whole powers of BASE (two bytes): mergeable, and equal for two sets with
 a probability that rises with their Jaccard similarity. Sketches of equal sets are
 worked off once, as one class. Bands of ROWS registers give buckets of
 candidates. Within a bucket the similarity of pairs is estimated by maximum
@@ -12,15 +12,20 @@ the full shingle sets. Pairs of members that the verified links leave in differe
 components are then estimated and verified one by one, so that no link which
 could join two components is passed over; links inside a component aren't needed.
 
-A pair at the threshold shares a bucket with probability 1 - 6e-7, and its
-estimate stays above the margin with more than 5 standard deviations.
+A pair at the threshold shares a bucket with probability 1 - 3e-6, and its
+estimate stays above the margin with more than 5 standard deviations. BASE is so near
+to 1 that sets of one size without a common element share a bucket with probability
+3e-12: buckets of unrelated texts don't fill up as the input grows.
 
 Skew: copies are one class before anything is paired; bucket sizes are
 pre-aggregated and come back by lookup_join; a large bucket is cut into blocks
-of about BLOCK members, each block is joined into components by itself, and only
-blocks whose members are still in different components are compared crosswise, within
-a task, which passes on only links that join components. No bucket is dropped or
-capped, and no group is expanded into rows for its pairs.
+of about BLOCK members, and each block is joined into components by itself. Of a bucket
+that still has several components, the members outside the largest are cut into blocks
+of their own and compared crosswise with all blocks, within a task, which passes on
+only links that join components. Members of the largest component aren't compared with
+each other, so that where few others are left the work grows with the bucket's
+size, not its square. No bucket is dropped or capped, and no group is expanded into
+rows for its pairs.
 
 Defined results: null and empty texts have an empty set, are linked with nothing
 and form their own components; repeated rows have one component_id; an empty
@@ -44,8 +49,9 @@ SHINGLE = 5
 THRESHOLD = 80  # per cent
 M = 160
 ROWS = 5
-BASE = 1.2
+BASE = 1.01
 RATE = 20.0
+REGISTER = np.dtype("<u2")
 MARGIN = 0.17
 BLOCK = 512
 #: Ids (of 8 bytes) that may be broadcast.
@@ -130,7 +136,7 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) -> tupl
 
 
 def sketches(elements: np.ndarray, begins: np.ndarray) -> np.ndarray:
-    """Registers (texts x M, uint8) of the sets; empty sets have zeros.
+    """Registers (texts x M, uint16) of the sets; empty sets have zeros.
 
     Each element is a Poisson process of rate M whose points fall into random
     registers; a register keeps the first point of all elements. Points beyond
@@ -138,7 +144,7 @@ def sketches(elements: np.ndarray, begins: np.ndarray) -> np.ndarray:
     per set are made, whatever its size.
     """
     sizes = np.diff(begins)
-    out = np.zeros((len(sizes), M), np.uint8)
+    out = np.zeros((len(sizes), M), REGISTER)
     levels = np.frompyfunc(int.bit_length, 1, 1)(np.maximum(sizes, 0).astype(object)).astype(np.int64)
     for level in np.unique(levels[sizes > 0]):
         rows = np.flatnonzero(levels == level)
@@ -175,7 +181,7 @@ def _registers(elements, begins, sizes, rows):
         todo = np.flatnonzero(np.isinf(first).any(axis=1))
         first[todo] = np.inf
         reach *= 2
-    return np.clip(np.floor(1 - np.log(first / RATE) / math.log(BASE)), 0, 255).astype(np.uint8)
+    return np.clip(np.floor(1 - np.log(first / RATE) / math.log(BASE)), 0, 65535).astype(REGISTER)
 
 
 def _sketch_documents(k: int):
@@ -192,7 +198,7 @@ def _sketch_documents(k: int):
                     total = np.add.reduceat(mixed, begins[:-1]) if b > a else np.zeros(0, np.uint64)
                     sums.append(np.where(sizes > 0, total, 0).astype(np.uint64).view(np.int64))
                 flat = pa.py_buffer(np.ascontiguousarray(regs).tobytes())
-                registers = pa.FixedSizeBinaryArray.from_buffers(pa.binary(M), b - a, [None, flat]).cast(pa.binary())
+                registers = pa.FixedSizeBinaryArray.from_buffers(pa.binary(M * REGISTER.itemsize), b - a, [None, flat]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sizes, pa.int64()), pa.array(sums[0]), pa.array(sums[1]), registers], names=["doc_id", "n", "s1", "s2", "regs"])
 
     return run
@@ -294,7 +300,7 @@ def _slices(table: pa.Table, starts, ends):
         c = table.column(name)
         if pa.types.is_binary(c.type):
             raw, off = text_buffers(c)
-            columns[name] = raw[off[0] : off[-1]].reshape(-1, M)
+            columns[name] = raw[off[0] : off[-1]].view(REGISTER).reshape(-1, M)
         elif pa.types.is_string(c.type) or pa.types.is_large_string(c.type):
             columns[name] = text_buffers(c)
         else:
@@ -330,13 +336,13 @@ def _wanted(threshold: int):
     def run(batches):
         out: list[tuple] = []
         for g in _grouped(batches, 3):
-            rep, n, regs, comp = (g[c] for c in ("rep", "n", "regs", "comp"))
+            rep, n, regs, comp, side = (g[c] for c in ("rep", "n", "regs", "comp", "side"))
             if (comp == comp[0]).all():
                 continue
-            band = int(g["band"][0])
+            band, same = int(g["band"][0]), g["i"][0] == g["j"][0]
             mark = np.zeros(len(rep), bool)
             for x in range(len(rep)):
-                other = np.flatnonzero(comp > comp[x])
+                other = np.flatnonzero((comp > comp[x]) & ((side != side[x]) | same))
                 if len(other) and band:
                     early = (regs[other, : band * ROWS] == regs[x, : band * ROWS]).reshape(len(other), band, ROWS).all(axis=2).any(axis=1)
                     other = other[~early]
@@ -493,7 +499,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = sketch.where("n > 0 and doc_id is not null")
     classes = materialize(sets.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("regs").alias("regs")), "classes")
 
-    bands = [F.xxhash64(F.lit(i), F.substring("regs", i * ROWS + 1, ROWS)) for i in range(M // ROWS)]
+    width = ROWS * REGISTER.itemsize
+    bands = [F.xxhash64(F.lit(i), F.substring("regs", i * width + 1, width)) for i in range(M // ROWS)]
     entries = classes.select("rep", F.posexplode(F.array(*bands)).alias("band", "bucket"))
     sizes = materialize(entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "buckets")
     n_entries = classes.count() * (M // ROWS)
@@ -509,11 +516,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # What is left: buckets with members in different components.
     labelled = materialize(members.join(comps.withColumnRenamed("id", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep")), "labelled")
-    open_ = labelled.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi").select("bucket", "size")
-    left = lookup_join(labelled.withColumn("spread", F.xxhash64("rep", "bucket")), materialize(open_, "open"), ["bucket"], "size", n_entries, "spread")
-    left = left.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    left = left.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "band", "comp", "rep").join(classes.select("rep", "n", "regs"), "rep")
-    left = left.select("bucket", "i", "j", "band", "comp", "rep", "n", "regs").repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    by_comp = labelled.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("c"))
+    open_ = by_comp.groupBy("bucket").agg(F.count(F.lit(1)).alias("comps"), F.sum("c").alias("size"), F.max(F.struct("c", "comp")).alias("top")).where("comps > 1")
+    open_ = materialize(open_.select("bucket", "size", F.col("top.comp").alias("home"), F.col("top.c").alias("n_home")), "open")
+    left = lookup_join(labelled.drop("block", "blocks").withColumn("spread", F.xxhash64("rep", "bucket")), open_, ["bucket"], "size", n_entries, "spread")
+    # Blocks 0 .. strays - 1 hold members outside the largest component, the others the rest.
+    left = left.withColumn("strays", F.expr(f"cast(ceil((size - n_home) / {BLOCK}) as int)")).withColumn("homes", F.expr(f"cast(ceil(n_home / {BLOCK}) as int)"))
+    block = f"case when size <= {BLOCK} then 0 when comp <> home then cast(pmod(xxhash64(rep, bucket, 11), strays) as int) else strays + cast(pmod(xxhash64(rep, bucket, 11), homes) as int) end"
+    others = f"case when size <= {BLOCK} then array(0) when comp <> home then sequence(0, strays + homes - 1) else sequence(0, strays - 1) end"
+    left = left.withColumn("block", F.expr(block)).withColumn("other", F.explode(F.expr(others)))
+    left = left.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.expr("cast(block <= other as int)").alias("side"), "band", "comp", "rep").join(classes.select("rep", "n", "regs"), "rep")
+    left = left.select("bucket", "i", "j", "side", "band", "comp", "rep", "n", "regs").repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
     wanted = materialize(left.mapInArrow(_wanted(threshold), "bucket long, i int, j int, comp long, rep long"), "wanted")
     of = _texts(keyed, wanted.select(F.col("rep").alias("id")).distinct()).withColumnRenamed("id", "rep")
     full = wanted.join(of, "rep").select("bucket", "i", "j", "comp", "rep", "text").repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
