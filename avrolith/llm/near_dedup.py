@@ -56,6 +56,8 @@ MARGIN = 0.17
 BLOCK = 512
 #: Ids (of 8 bytes) that may be broadcast.
 BROADCAST_IDS = 1_000_000
+#: Ids among which a task contracts links at a time.
+CONTRACT = 1 << 20
 
 # --- shingles ---------------------------------------------------------------
 
@@ -384,29 +386,19 @@ def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _crosswise(k: int, threshold: int):
-    """For groups (bucket, block pair) with texts: links that join members of different
-    components, verified on the full sets; fewer than there are members."""
+    """For groups (bucket, block pair) with texts: pairs of components that a link, verified on
+    the full sets, joins; fewer than there are members."""
 
     def run(batches):
         pairs: list[tuple[int, int]] = []
         for g in _grouped(batches, 3):
-            rep, comp = g["rep"], g["comp"]
+            comp = g["comp"]
             elements, begins = shingle_sets(*g["text"], k)
             sizes = np.diff(begins)
-            shared = shared_counts([elements[begins[x] : begins[x + 1]] for x in range(len(rep))])
+            shared = shared_counts([elements[begins[x] : begins[x + 1]] for x in range(len(comp))])
             good = (100 * shared >= threshold * (sizes[:, None] + sizes[None, :] - shared)) & (comp[:, None] < comp[None, :]) & (shared > 0)
-            joined: dict[int, int] = {}
-
-            def find(c):
-                while joined.setdefault(c, c) != c:
-                    c = joined[c]
-                return c
-
-            for x, y in zip(*np.nonzero(good)):
-                a, b = find(int(comp[x])), find(int(comp[y]))
-                if a != b:
-                    joined[max(a, b)] = min(a, b)
-                    pairs.append((int(rep[x]), int(rep[y])))
+            joined = _Union()
+            pairs.extend((int(comp[x]), int(comp[y])) for x, y in zip(*np.nonzero(good)) if joined.join(int(comp[x]), int(comp[y])))
         yield _pairs_out(pairs)
 
     return run
@@ -460,29 +452,67 @@ def _links(pairs: DataFrame, keyed: DataFrame, k: int, threshold: int) -> DataFr
 # --- components -------------------------------------------------------------
 
 
+class _Union(dict):
+    """Union-find: the smallest number of each set is its root."""
+
+    def root(self, x: int) -> int:
+        up = self.setdefault(x, x)
+        while up != self[up]:
+            self[x] = self[up]
+            x, up = up, self[up]
+        return up
+
+    def join(self, x: int, y: int) -> bool:
+        """Whether x and y were in different sets."""
+        a, b = self.root(x), self.root(y)
+        self[max(a, b)] = min(a, b)
+        return a != b
+
+
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Stars (v smallest, u) with the components of the edges that a task has read, up to CONTRACT at a time."""
+
+    def stars(sets: _Union) -> pa.RecordBatch:
+        ids = np.fromiter(sets, np.int64, len(sets))
+        roots = np.fromiter((sets.root(x) for x in list(sets)), np.int64, len(sets))
+        rays = ids != roots
+        return pa.RecordBatch.from_arrays([pa.array(roots[rays]), pa.array(ids[rays])], names=["v", "u"])
+
+    sets = _Union()
+    for batch in batches:
+        for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            sets.join(x, y)
+        if len(sets) > CONTRACT:
+            yield stars(sets)
+            sets = _Union()
+    yield stars(sets)
+
+
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every u has one v, which is no u itself."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("v", F.lit(0), F.lit(1)))
+    return ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up = 1 and down = 1").count() == 0
+
+
 def components(links: DataFrame) -> DataFrame:
-    """(id, comp): the smallest id that each id in links can reach, by alternating
-    large-star and small-star steps; a star's centre may have any number of rays."""
+    """(id, comp): the smallest id that each id in links (a, b) can reach. What a task reads is
+    contracted to stars; alternating large-star and small-star steps join these. A star's
+    centre may have any number of rays."""
 
     def with_least(edges: DataFrame) -> DataFrame:
         total = edges.count()
         least = materialize(edges.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("n")), "least")
         return lookup_join(edges.withColumn("spread", F.xxhash64("u", "v")), least, ["u"], "n", total, "spread")
 
-    edges = materialize(links.where("a <> b").select(F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u")).distinct(), "edges")
-    state = None
-    while True:
+    edges = materialize(links.where("a <> b").select("a", "b").mapInArrow(_contract, "v long, u long").distinct(), "edges")
+    while not _are_stars(edges):
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         both = materialize(both, "both")
         large = materialize(with_least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large")
         small = with_least(large)
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         edges = materialize(small, "edges")
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state:
-            break
-        state = now
-    return edges.select(F.col("u").alias("id"), F.col("v").alias("comp")).union(edges.select(F.col("v").alias("id"), F.col("v").alias("comp"))).groupBy("id").agg(F.min("comp").alias("comp"))
+    return edges.select(F.col("u").alias("id"), F.col("v").alias("comp")).union(edges.select(F.col("v").alias("id"), F.col("v").alias("comp")).distinct())
 
 
 # --- the operator -----------------------------------------------------------
@@ -531,10 +561,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of = _texts(keyed, wanted.select(F.col("rep").alias("id")).distinct()).withColumnRenamed("id", "rep")
     full = wanted.join(of, "rep").select("bucket", "i", "j", "comp", "rep", "text").repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
     more = materialize(full.mapInArrow(_crosswise(k, threshold), "a long, b long"), "more-links")
-    comps = materialize(components(links.union(more)), "components")
 
-    classes = classes.select("n", "s1", "s2", "rep", "copies").join(comps.withColumnRenamed("id", "rep"), "rep", "left")
-    classes = classes.select("n", "s1", "s2", "copies", F.coalesce("comp", "rep").alias("component_id"))
+    classes = classes.select("n", "s1", "s2", "rep", "copies").join(comps.withColumnRenamed("id", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    roots = materialize(components(more).select(F.col("id").alias("comp"), F.col("comp").alias("root")), "roots")
+    few = roots.count() <= BROADCAST_IDS
+    classes = classes.join(F.broadcast(roots) if few else roots.hint("merge"), "comp", "left")
+    classes = classes.select("n", "s1", "s2", "copies", F.coalesce("root", "comp").alias("component_id"))
     rows = sketch.select("doc_id", "n", "s1", "s2")
     grouped = rows.where("n > 0 and doc_id is not null").withColumn("spread", F.xxhash64("doc_id"))
     linked = lookup_join(grouped, classes, ["n", "s1", "s2"], "copies", total, "spread").select("doc_id", F.col("n").alias("n_shingles"), "component_id")

@@ -342,6 +342,25 @@ def test_near_duplicates(spark, monkeypatch, block):
         assert (r.n_shingles, r.component_id) == want[r.doc_id] and r.kept == (r.doc_id == r.component_id)
 
 
+@pytest.mark.parametrize("contract", [1 << 20, 3])
+def test_components_of_links(spark, monkeypatch, contract):
+    """Chains, a centre with many rays, random links, repeated links and loops, over several tasks."""
+    monkeypatch.setattr(near_dedup, "CONTRACT", contract)
+    rng = random.Random(3)
+    chain = list(range(1000, 1060))
+    rng.shuffle(chain)
+    links = list(zip(chain, chain[1:])) + [(7, i) for i in range(100, 300)] + [(rng.randrange(2000, 2200), rng.randrange(2000, 2200)) for _ in range(100)]
+    links += links[:20] + [(5, 5), (-3, 2), (9, 2)]
+    want = near_dedup._Union()
+    for a, b in links:
+        want.join(a, b)
+    df = spark.createDataFrame([(min(x), max(x)) for x in links], "a long, b long").repartition(8)
+    got = near_dedup.components(df).collect()
+    assert len(got) == len({r.id for r in got})
+    assert {r.id: r.comp for r in got} == {x: want.root(x) for a, b in links if a != b for x in (a, b)}
+    assert near_dedup.components(df.where("a > 10000")).count() == 0
+
+
 def test_near_duplicates_odd(odd, empty):
     got = {(r.doc_id, r.component_id) for r in near_dedup.near_duplicates(odd).collect()}
     assert {(3, 3), (4, 3), (6, 6), (7, 6), (8, 6), (1, 1), (2, 2), (5, 5)} <= got
