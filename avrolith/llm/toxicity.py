@@ -1,10 +1,15 @@
 """Toxicity scores of restored text.
 
-Words that look disguised (digits or symbols for letters, letters set apart, letters
-repeated) are restored by a noisy channel: every run of equal characters becomes
-the letters it may stand for, once or twice, and Viterbi decoding finds the most
-likely spelling under a character trigram model counted over all texts. The
-words as written and as restored are then scored.
+Words that look disguised (digits or symbols for letters, letters set apart or
+split, letters repeated, letters masked) are restored by a noisy channel: every run of
+equal characters becomes the letters it may stand for, once or twice, every '*' any one
+letter, and Viterbi decoding finds the most likely spelling under a character trigram
+model counted over all texts. Decoded are all words with a letter and a sign (also at
+an end: with it and without), with signs between letters or with a letter twice in a row,
+and all stretches of words of up to SHORT characters, where the spelling may
+keep or drop each space. A letter that stands twice is decoded as twice meant and as
+likely to be meant once (see DOUBLED). What consists of digits and signs only is no
+word. The words as written and as restored are then scored.
 
 The score is learned from labelled rows: every word and word beginning gets a
 cautious log ratio of how many toxic and other texts have it (counted over all learnable
@@ -52,6 +57,12 @@ _LETTER_BYTE = np.zeros(256, bool)
 _LETTER_BYTE[[*range(ord("a"), ord("z") + 1), *range(0x80, 0x100)]] = True
 _SPACE_BYTE = np.zeros(256, bool)
 _SPACE_BYTE[[0x20, *range(0x09, 0x0E)]] = True
+_SIGNS = "".join(LEET)
+_PUNCTUATION = "\"'.,;:?#%&)]}"
+#: Costs at which exactly two equal characters are taken for one letter: both readings are scored.
+DOUBLED = (0.0, 4.0)
+#: Characters of a word that may be a piece of a word.
+SHORT = 3
 
 # --- character model --------------------------------------------------------
 
@@ -66,61 +77,169 @@ class CharacterModel:
         p1 = uni / uni.sum()
         p2 = (bi + 2 * p1) / (bi.sum(axis=1, keepdims=True) + 2)
         p3 = (tri + 2 * p2[None]) / (tri.sum(axis=2, keepdims=True) + 2)
+        # n-grams with a blank in the middle aren't counted: letters that begin a word
+        first = tri[0].sum(axis=1) + p1
+        first[0] = 1e-9
+        p3[:, 0] = first / first.sum()
         self.log = np.log(p3).astype(np.float32)
-        self.cache: dict[str, str] = {}
+        self.cache: dict[str, list[str]] = {}
+        self.tails: dict[tuple[str, str, int], tuple[float, str]] = {}
 
-    def restore(self, word: str) -> str:
-        """The likeliest spelling of a disguised word, in lower case."""
-        known = self.cache.get(word)
+    def readings(self, written: str) -> list[str]:
+        """The likeliest spellings of a disguised word, in lower case, with and without the
+        signs at its ends, or of a stretch of short words; no word of it as written."""
+        known = self.cache.get(written)
         if known is None:
             if len(self.cache) > 50_000:
                 self.cache.clear()
-            known = self._decode(word)
-            if len(word) <= 64:
-                self.cache[word] = known
+            core = written.strip(_PUNCTUATION)
+            known = []
+            plain = set("".join(c if c.isalpha() else " " for c in core).split())
+            for form in dict.fromkeys((core, core.rstrip(_SIGNS), core.lstrip(_SIGNS), core.strip(_SIGNS))):
+                if form not in plain and any(c.isalpha() for c in form):
+                    for cost in DOUBLED:
+                        known += [w for w in self._decode(form, cost).split() if len(w) > 2 and w not in plain and w not in known]
+            if len(written) <= 64:
+                self.cache[written] = known
         return known
 
-    def _decode(self, word: str) -> str:
+    def restore(self, word: str) -> str:
+        """The likeliest spelling of a disguised word, in lower case."""
+        return self._decode(word)
+
+    def _cost(self, a: str, b: str, c: str) -> float:
+        classes = _letter_classes()
+        return -float(self.log[classes[ord(a)], classes[ord(b)], classes[ord(c)]])
+
+    def _masked(self, states: dict) -> dict:
+        """The states after one '*' more: of each pair of last letters the best."""
         classes = _letter_classes()
+        keys = list(states)
+        before = np.array([states[k][0] for k in keys])
+        a, b = (np.array([classes[ord(k[i])] for k in keys]) for i in (0, 1))
+        total = before[:, None] + 2.0 - self.log[a, b, 1:27]
+        last: dict[str, list[int]] = {}
+        for i, k in enumerate(keys):
+            last.setdefault(k[1], []).append(i)
+        out = {}
+        for q, rows in last.items():
+            at = np.array(rows)[total[rows].argmin(axis=0)]
+            for x, i in enumerate(at.tolist()):
+                letter = LEET["*"][x]
+                out[q, letter] = (float(total[i, x]), (states[keys[i]][1], letter))
+        return out
+
+    def _tail(self, a: str, b: str, n: int) -> tuple[float, str]:
+        """Cost and letters of the likeliest n letters that end a word after a and b."""
+        known = self.tails.get((a, b, n))
+        if known is None:
+            if len(self.tails) > 50_000:
+                self.tails.clear()
+            states = {(a, b): (0.0, ())}
+            for _ in range(n):
+                states = self._masked(states)
+            known = self.tails[a, b, n] = self._best(states)
+        return known
+
+    def _best(self, states: dict) -> tuple[float, str]:
+        best, link = min(((cost + self._cost(a, b, " "), link) for (a, b), (cost, link) in states.items()), key=lambda x: x[0])
+        out = []
+        while link:
+            link, x = link
+            out.append(x)
+        return best, "".join(reversed(out))
+
+    def _decode(self, word: str, doubled: float = 0.0) -> str:
         runs: list[tuple[str, int]] = []
         for c in word:
             if runs and runs[-1][0] == c:
                 runs[-1] = (c, runs[-1][1] + 1)
             else:
                 runs.append((c, 1))
+        masked = runs.pop()[1] if runs and runs[-1][0] == "*" else 0
         # state: the last two letters -> (cost, link to the letters so far)
         states: dict[tuple[str, str], tuple[float, tuple]] = {(" ", " "): (0.0, ())}
-        log = self.log
-        cls = lambda c: 0 if c == " " else int(classes[ord(c)])
         for c, n in runs:
+            if c == "*":
+                for _ in range(n):
+                    states = self._masked(states)
+                continue
             if c.isalpha():
                 options = [(c, 0.0)]
             elif c in LEET:
-                options = [(x, 0.5 if c != "*" else 2.0) for x in LEET[c]]
+                options = [(x, 0.5) for x in LEET[c]]
+            elif c == " ":
+                options = [("", 0.0), (" ", 0.0)]
             else:
                 options = [("", 0.3)]
             spelled = []
             for x, cost in options:
-                spelled.append((x, cost))
-                if n > 1 and x:
+                spelled.append((x, cost + (doubled if n == 2 and x.strip() else 0.0)))
+                if n > 1 and x.strip():
                     spelled.append((x + x, cost))
             new: dict[tuple[str, str], tuple[float, tuple]] = {}
             for (a, b), (before, path) in states.items():
                 for letters, cost in spelled:
                     total, p, q, link = before + cost, a, b, path
                     for x in letters:
-                        total -= float(log[cls(p), cls(q), cls(x)])
+                        total += self._cost(p, q, x)
                         p, q, link = q, x, (link, x)
                     held = new.get((p, q))
                     if held is None or total < held[0]:
                         new[p, q] = (total, link)
             states = new
-        best, link = min(((cost - float(log[cls(a), cls(b), 0]), link) for (a, b), (cost, link) in states.items()), key=lambda x: x[0])
-        out = []
-        while link:
-            link, x = link
-            out.append(x)
-        return "".join(reversed(out))
+        if masked:
+            ends = [(cost + self._tail(a, b, masked)[0], a, b) for (a, b), (cost, _) in states.items()]
+            _, a, b = min(ends)
+            head = states[a, b]
+            out, link = [], head[1]
+            while link:
+                link, x = link
+                out.append(x)
+            return "".join(reversed(out)) + self._tail(a, b, masked)[1]
+        return self._best(states)[1]
+
+    def choose(self, x: np.ndarray, extra: np.ndarray, cost: np.ndarray, begins: np.ndarray) -> np.ndarray:
+        """Viterbi decoding of many sequences of letter classes x at once, where extra, a class,
+        may stand before a letter or be left out at a cost (-1: none may): whether it stands."""
+        log = self.log.ravel()
+        size = np.diff(begins)
+        order = np.argsort(size, kind="stable")
+        size, at = size[order], begins[:-1][order]
+        n, most = len(order), int(size.max(initial=0))
+        alive = np.searchsorted(size, np.arange(most), side="right")
+        x, extra = x.astype(np.int32), extra.astype(np.int32)
+        # costs with the last extra left out and standing, and the two classes before the next letter
+        c0, c1 = np.zeros(n, np.float32), np.full(n, np.inf, np.float32)
+        a0, a1 = np.zeros(n, np.int32), np.zeros(n, np.int32)
+        back = np.zeros((2, len(x)), bool)
+        for i in range(most):
+            k = int(alive[i])
+            own = at[k:] + i
+            y, e = x[own], extra[own]
+            p0, p1, q0, q1 = c0[k:], c1[k:], a0[k:] * CLASSES, a1[k:] * CLASSES
+            s, t = p0 - log[q0 + y], p1 - log[q1 + y]
+            back[0, own] = t < s
+            zero = np.minimum(s, t)
+            one = np.full(n - k, np.inf, np.float32)
+            has = np.flatnonzero(e >= 0)
+            if len(has):
+                zero[has] += cost[own[has]]
+                f = e[has]
+                s, t = p0[has] - log[q0[has] + f], p1[has] - log[q1[has] + f]
+                back[1, own[has]] = t < s
+                one[has] = np.minimum(s, t) - log[(a0[k:][has] % CLASSES * CLASSES + f) * CLASSES + y[has]]
+            c0[k:], c1[k:] = zero, one
+            a1[k:] = np.maximum(e, 0) * CLASSES + y
+            a0[k:] = a0[k:] % CLASSES * CLASSES + y
+        state = c1 - log[a1 * CLASSES] < c0 - log[a0 * CLASSES]
+        out = np.zeros(len(x), bool)
+        for i in range(most - 1, -1, -1):
+            k = int(alive[i])
+            own = at[k:] + i
+            out[own] = state[k:]
+            state[k:] = np.where(state[k:], back[1, own], back[0, own])
+        return out
 
 
 def _count_characters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,49 +312,165 @@ def word_features(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.nda
     return out, holds, np.searchsorted(off, starts, side="right") - 1
 
 
+def _flat(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Characters of the ranges of UTF-8 bytes, a blank after each, and where each range begins."""
+    size = ends - starts + 1
+    last = np.cumsum(size)
+    at = np.arange(int(last[-1])) + np.repeat(starts - (last - size), size)
+    raw = np.append(data, np.uint8(0x20))[np.minimum(at, len(data))]
+    raw[last - 1] = 0x20
+    raw = np.where(_SPACE_BYTE[raw], np.uint8(0x20), raw)
+    chars = np.frombuffer(raw.tobytes().decode("utf-8", "replace").encode("utf-32-le", "replace"), np.uint32)
+    first = (raw & 0xC0) != 0x80
+    begins = np.concatenate([[0], np.cumsum(first)[last - 1]])
+    return chars, begins
+
+
+def _words_of(chars: np.ndarray) -> list[str]:
+    return chars.astype("<u4").tobytes().decode("utf-32-le", "replace").split(" ")[:-1]
+
+
+def _respelled(data, starts, ends, model: CharacterModel) -> tuple[list[str], np.ndarray]:
+    """Words whose letters stand twice or more in a row as they were meant; of which range each is."""
+    chars, begins = _flat(data, starts, ends)
+    owner = np.repeat(np.arange(len(starts)), np.diff(begins))
+    new = np.ones(len(chars), bool)
+    new[1:] = (chars[1:] != chars[:-1]) | (chars[1:] == 0x20)
+    heads = np.flatnonzero(new)
+    run = np.diff(np.append(heads, len(chars)))
+    letter, mine = chars[heads], owner[heads]
+    real = letter != 0x20
+    heads, run, letter, mine = heads[real], run[real], letter[real], mine[real]
+    classes = _letter_classes()[letter].astype(np.int64)
+    items = np.searchsorted(mine, np.arange(len(starts) + 1))
+    extra = np.where(run > 1, classes, -1)
+    words: list[str] = []
+    which = []
+    before = None
+    for cost in DOUBLED:
+        twice = model.choose(classes, extra, np.where(run == 2, cost, 0.0), items)
+        other = (run > 1) & ~(twice & (run == 2))
+        if before is not None:
+            other &= np.isin(mine, mine[before != twice])
+        before = twice
+        changed = np.unique(mine[other])
+        keep = np.isin(mine, changed)
+        count = 1 + twice[keep].astype(np.int64)
+        spelled = np.repeat(letter[keep], count)
+        own = np.repeat(mine[keep], count)
+        stop = np.searchsorted(own, changed, side="right")
+        words += _words_of(np.insert(spelled, stop, 0x20))
+        which.append(changed)
+    return words, np.concatenate(which)
+
+
+def _joined(data, starts, ends, model: CharacterModel) -> tuple[list[str], np.ndarray]:
+    """Words that stretches of short words spell across their spaces; of which stretch each is."""
+    chars, begins = _flat(data, starts, ends)
+    owner = np.repeat(np.arange(len(starts)), np.diff(begins))
+    classes = _letter_classes()[chars].astype(np.int64)
+    at = np.flatnonzero(classes)
+    if not len(at):
+        return [], np.zeros(0, np.int64)
+    mine = owner[at]
+    gap = np.zeros(len(at), bool)
+    gap[1:] = (np.diff(at) > 1) & (mine[1:] == mine[:-1])
+    items = np.searchsorted(mine, np.arange(len(starts) + 1))
+    border = model.choose(classes[at], np.where(gap, 0, -1), np.zeros(len(at)), items)
+    head = border.copy()
+    head[0] = True
+    head[1:] |= mine[1:] != mine[:-1]
+    word = np.cumsum(head) - 1
+    size = np.bincount(word)
+    across = np.bincount(word, weights=gap & ~border) > 0
+    good = across & (size > 2)
+    keep = good[word]
+    stop = np.cumsum(size[good])
+    return _words_of(np.insert(chars[at][keep], stop, 0x20)), mine[head][good]
+
+
 def restored(data: np.ndarray, off: np.ndarray, model: CharacterModel) -> list[tuple[int, str]]:
     """(text, word) for every disguised word of lower-case texts."""
     n = len(data)
     if n < 3:
         return []
+    inside = ~_SPACE_BYTE[data]
+    edge = np.empty(n + 1, bool)
+    edge[0], edge[-1] = inside[0], inside[-1]
+    edge[1:-1] = inside[1:] != inside[:-1]
+    cuts = off[1:-1]
+    cuts = np.unique(cuts[(cuts > 0) & (cuts < n)])
+    cuts = cuts[inside[cuts] & inside[cuts - 1]]
+    edges = np.flatnonzero(edge)
+    if len(cuts):
+        edges = np.sort(np.concatenate([edges, cuts, cuts]))
+    starts, ends = edges[0::2], edges[1::2]
+    if not len(starts):
+        return []
+    text = np.searchsorted(off, starts, side="right") - 1
+
     letter = _LETTER_BYTE[data]
-    flag = np.zeros(n, bool)
-    flag[:-1] |= _LEET_BYTE[data[:-1]] & letter[1:]
-    flag[2:] |= letter[2:] & (data[2:] == data[1:-1]) & (data[1:-1] == data[:-2]) & (data[2:] < 0x80)
-    space = _SPACE_BYTE[data]
-    lone = np.zeros(n, bool)  # letters on their own
-    lone[1:-1] = letter[1:-1] & ~letter[:-2] & ~letter[2:]
-    apart = np.zeros(n, bool)
-    if n > 6:
-        apart[:-6] = lone[:-6] & lone[2:-4] & lone[4:-2] & lone[6:]
+    sign = _LEET_BYTE[data]
+    for mark in "€£¡":
+        code = mark.encode()
+        found = np.ones(n - len(code) + 1, bool)
+        for i, byte in enumerate(code):
+            found &= data[i : n - len(code) + 1 + i] == byte
+        for at in np.flatnonzero(found).tolist():
+            sign[at : at + len(code)], letter[at : at + len(code)] = True, False
+    twice = np.zeros(n, bool)
+    twice[1:] = letter[1:] & (data[1:] == data[:-1]) & (data[1:] < 0x80)
+    # letters outside ASCII: two bytes and the same two again
+    twice[3:] |= (data[3:] == data[1:-2]) & (data[2:-1] == data[:-3]) & (data[2:-1] >= 0xC3) & (data[2:-1] < 0xE0)
+    fresh = letter.copy()
+    fresh[1:] &= ~letter[:-1]
+    fresh[starts] = letter[starts]
+
+    def count(flags: np.ndarray) -> np.ndarray:
+        total = np.zeros(n + 1, np.int32)
+        np.cumsum(flags, out=total[1:])
+        return total[ends] - total[starts]
+
+    letters, signs, runs = count(letter), count(sign), count(fresh)
+    # the first byte of a word repeats nothing of its own
+    head = twice.copy()
+    head[starts] = False
+    pairs = count(head)
+    whole = count((data & 0xC0) != 0x80)
+    inner = (runs > 1) | (signs > 0)
     out: list[tuple[int, str]] = []
-    ends = np.flatnonzero(space)
-    where = np.flatnonzero(flag)
-    done = -1
-    for at in where.tolist():
-        if at < done:
-            continue
-        i = int(np.searchsorted(ends, at))
-        start = int(ends[i - 1]) + 1 if i else 0
-        end = int(ends[i]) if i < len(ends) else n
-        text = int(np.searchsorted(off, at, side="right")) - 1
-        start, end = max(start, int(off[text])), min(end, int(off[text + 1]))
-        done = end
-        word = data[start:end].tobytes().decode("utf-8", "replace").strip("\"'.,;:?#%&)]}")
-        if len(word) > 2:
-            out.append((text, model.restore(word.rstrip("*$!"))))
-    done = -1
-    for at in np.flatnonzero(apart).tolist():
-        if at < done:
-            continue
-        text = int(np.searchsorted(off, at, side="right")) - 1
-        last = at
-        while last + 2 < n and lone[last + 2] and last + 2 < off[text + 1]:
-            last += 2
-        done = last
-        letters = data[at : last + 1 : 2].tobytes().decode("utf-8", "replace")
-        if len(set(letters)) > 2:
-            out.append((text, model.restore(letters)))
+    for i in np.flatnonzero((letters > 0) & inner & (whole > 2)).tolist():
+        t = int(text[i])
+        out += [(t, w) for w in model.readings(data[starts[i] : ends[i]].tobytes().decode("utf-8", "replace"))]
+    own = np.flatnonzero((pairs > 0) & ~inner & (whole > 2))
+    if len(own):
+        # the word's letters without what stands about them
+        first = np.flatnonzero(fresh)
+        last = np.flatnonzero(letter & ~np.append(letter[1:] & ~fresh[1:], False))
+        at = np.searchsorted(first, starts[own])
+        words, which = _respelled(data, first[at], np.minimum(last[at] + 1, ends[own]), model)
+        out += zip(text[own][which].tolist(), words)
+
+    core = count(letter & ((data & 0xC0) != 0x80)) + count(sign & ((data & 0xC0) != 0x80))
+    short = (core > 0) & (core <= SHORT) & (whole <= 2 * SHORT)
+    follows = np.zeros(len(starts), bool)
+    follows[1:] = short[1:] & short[:-1] & (text[1:] == text[:-1])
+    heads = np.flatnonzero(short & ~follows)
+    if len(heads):
+        tails = np.append(heads[1:], len(starts)) - 1
+        steps = np.cumsum(follows)
+        tails = heads + steps[tails] - steps[heads]
+        sums = [np.concatenate([[0], np.cumsum(x)]) for x in (letters, signs)]
+        held, marks = (x[tails + 1] - x[heads] for x in sums)
+        many = (tails > heads) & (held > 0)
+        for i in np.flatnonzero(many & (marks > 0)).tolist():
+            a, b = int(starts[heads[i]]), int(ends[tails[i]])
+            stretch = " ".join(w.strip(_PUNCTUATION) for w in data[a:b].tobytes().decode("utf-8", "replace").split())
+            out += [(int(text[heads[i]]), w) for w in model.readings(stretch)]
+        plain = np.flatnonzero(many & (marks == 0))
+        if len(plain):
+            words, which = _joined(data, starts[heads[plain]], ends[tails[plain]], model)
+            out += zip(text[heads[plain]][which].tolist(), words)
     return out
 
 

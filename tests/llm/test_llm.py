@@ -261,6 +261,24 @@ def test_restore():
         assert model.restore(written) == meant
 
 
+def test_restored_disguises():
+    import numpy as np
+
+    raw = ("idiot moron stupid fuck ass hoe " * 50 + "the hat is on a mat hello all see too " * 200).encode()
+    grams, _ = language_id.gram_numbers(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+    model = toxicity.CharacterModel(np.bincount(grams, minlength=language_id.GRAMS))
+    want = {"f**k on": "fuck", "f***": "fuck", "a55": "ass", "a$$": "ass", "h03": "hoe", "stuupid": "stupid", "idiiot": "idiot", "fuuck the": "fuck", "a s s": "ass", "i  d  i  o  t": "idiot", "id iot the mat": "idiot", "the stu pid": "stupid", "1 d 1 0 t": "idiot", "i. d. i. o. t.": "idiot", "s-t-u-p-i-d": "stupid", "s t u p i d on a mat": "stupid", "st€pid": "stepid"}
+    clean = ["the hat is on a mat hello all see", "id", "iot", "hello hello", "455 10 20", "", "ass"]
+    texts = [x for w in want for x in (w, "id")] + clean
+    data = [t.encode() for t in texts]
+    off = np.concatenate([[0], np.cumsum([len(x) for x in data])])
+    got = collections.defaultdict(set)
+    for i, w in toxicity.restored(np.frombuffer(b"".join(data), np.uint8), off, model):
+        got[i].add(w)
+    assert all(w in got[2 * i] for i, w in enumerate(want.values())), got
+    assert not any(got[2 * i + 1] for i in range(len(want))) and not any(got[2 * len(want) + i] for i in range(len(clean)))
+
+
 def test_toxicity_empty(spark, odd, empty):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert {r.score for r in toxicity.score(odd, none).collect()} == {0.0}
