@@ -17,9 +17,12 @@ rows), a text is summed up by its words' ratios, and a logistic regression on
 these sums, fitted on up to CALIBRATION rows of smallest hash, makes it a
 probability.
 
-Counts are pre-aggregated in each task into tables of fixed size, so hot sources
-and words gather no rows. The driver gets tables of at most FEATURES and
-CLASSES ** 3 entries and the sums of at most CALIBRATION rows.
+Words and beginnings are counted by their full 64-bit hash: first those of toxic texts,
+pre-aggregated in each task and summed up by a shuffle; then, of those that
+3 toxic texts have, how many other texts have them. So hot sources and words gather
+no rows, and what no toxic text holds is never shuffled. The driver gets CLASSES ** 3
+counts, the features of 3 labelled toxic texts (which grow with the vocabulary of these
+texts, not with the other rows) and the sums of at most CALIBRATION rows.
 
 Defined results: null and empty texts get the score of a text without any toxic word;
 repeated rows each get a row; labels join by id, null and repeated labels of an id
@@ -41,7 +44,8 @@ from pyspark.sql import functions as F
 from avrolith.llm.common import materialize, mix64, slices, text_buffers
 from avrolith.llm.language_id import CLASSES, GRAMS, _letter_classes, gram_numbers
 
-FEATURES = 1 << 20
+#: Features that a task holds to pre-aggregate counts.
+HELD = 1 << 20
 CALIBRATION = 20_000
 THRESHOLD = 0.7
 #: Labels (of 12 bytes) that may be broadcast.
@@ -502,28 +506,73 @@ def _features(column: pa.Array, model: CharacterModel):
 # --- learning ---------------------------------------------------------------
 
 
-def _bucket(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(44)).astype(np.int64)  # FEATURES = 2 ** 20
+def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, sorted, and the sums of their rows of counts."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    heads = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    return keys[heads], np.add.reduceat(counts[order], heads, axis=0) if len(keys) else counts
+
+
+def _counts_out(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], names=["feature", "n"])
+
+
+def _texts_out(n: int) -> pa.RecordBatch:
+    """How many texts there are, as a null feature."""
+    return pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([n], pa.int64())], names=["feature", "n"])
 
 
 def _count_features(model_of):
+    """How many texts have each feature."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_of()
-        totals = np.zeros((2, FEATURES), np.int32)
-        seen = np.zeros(2, np.int64)
+        keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        held: list[np.ndarray] = []
+        size = seen = 0
+        for batch in batches:
+            seen += batch.num_rows
+            for _, _, hashes, holds, text in _features(batch.column(0), model):
+                h, t = hashes[holds], np.broadcast_to(text[:, None], holds.shape)[holds]
+                order = np.lexsort((t, h))
+                h, t = h[order], t[order]
+                new = np.ones(len(h), bool)  # once a text
+                new[1:] = (h[1:] != h[:-1]) | (t[1:] != t[:-1])
+                held.append(h[new])
+                size += len(held[-1])
+                if size > HELD:
+                    more = np.concatenate(held)
+                    keys, counts = _summed(np.concatenate([keys, more]), np.concatenate([counts, np.ones(len(more), np.int64)]))
+                    held, size = [], 0
+                    if len(keys) > HELD:
+                        yield _counts_out(keys, counts)
+                        keys, counts = keys[:0], counts[:0]
+        more = np.concatenate([*held, np.zeros(0, np.uint64)])
+        yield _counts_out(*_summed(np.concatenate([keys, more]), np.concatenate([counts, np.ones(len(more), np.int64)])))
+        yield _texts_out(seen)
+
+    return run
+
+
+def _count_known(model_of, shared):
+    """How many texts have each of the features of shared, which are sorted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, known = model_of(), shared.value
+        totals = np.zeros(len(known), np.int64)
+        seen = 0
         for batch in batches:
-            toxic = np.asarray(batch.column(1).to_numpy(zero_copy_only=False)).astype(np.int64)
-            seen += np.bincount(toxic, minlength=2)
-            for a, _, hashes, holds, text in _features(batch.column(0), model):
-                label = toxic[a + text]
-                for i in range(hashes.shape[1]):
-                    own = holds[:, i]
-                    # once a text
-                    pair = np.unique(_bucket(hashes[own, i]) | (text[own] << 20) | (label[own] << 60))
-                    for y in (0, 1):
-                        totals[y] += np.bincount(pair[(pair >> 60) == y] & (FEATURES - 1), minlength=FEATURES).astype(np.int32)
-        at = np.flatnonzero(totals.any(axis=0))
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1).astype(np.int32)), pa.array(np.append(totals[0][at], seen[0]).astype(np.int64)), pa.array(np.append(totals[1][at], seen[1]).astype(np.int64))], names=["feature", "other", "toxic"])
+            seen += batch.num_rows
+            for _, count, hashes, holds, text in _features(batch.column(0), model):
+                h, t = hashes[holds], np.broadcast_to(text[:, None], holds.shape)[holds]
+                at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                own = known[at] == h
+                pair = np.unique(at[own] * count + t[own])  # once a text
+                totals += np.bincount(pair // count, minlength=len(known))
+        at = np.flatnonzero(totals)
+        yield _counts_out(known[at], totals[at])
+        yield _texts_out(seen)
 
     return run
 
@@ -541,10 +590,24 @@ SUMS = len(TIERS) + 3
 _X = [f"x{i}" for i in range(SUMS)]
 
 
+class Weights:
+    """Log ratios by feature, looked up by the full hash."""
+
+    def __init__(self, features: np.ndarray, ratios: np.ndarray):
+        order = np.argsort(features)
+        self.features, self.ratios = features[order], ratios[order]
+
+    def of(self, hashes: np.ndarray) -> np.ndarray:
+        if not len(self.features):
+            return np.zeros(hashes.shape, np.float32)
+        at = np.minimum(np.searchsorted(self.features, hashes), len(self.features) - 1)
+        return np.where(self.features[at] == hashes, self.ratios[at], np.float32(0))
+
+
 def _sums(hashes, holds, text, count, weights):
     """Of each text: its words by tier of their best ratio, the sum of the ratios, that
     sum per word, and its words, all as logarithms."""
-    value = np.where(holds, weights[_bucket(hashes)], 0).max(axis=1) if len(hashes) else np.zeros(0)
+    value = np.where(holds, weights.of(hashes), 0).max(axis=1) if len(hashes) else np.zeros(0)
     words = np.bincount(text, minlength=count)
     total = np.bincount(text, weights=value, minlength=count)
     edges = [*TIERS, np.inf]
@@ -611,15 +674,30 @@ def score(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col
     if marks.count() <= BROADCAST_LABELS:  # else a shuffle join
         marks = F.broadcast(marks)
     known = rows.join(marks, F.col("doc_id") == F.col("l_id")).select("text", "toxic", "doc_id")
-    table = known.select("text", "toxic").mapInArrow(_count_features(model_of), "feature int, other long, toxic long").groupBy("feature").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic"))
-    table = table.where("feature = -1 or toxic >= 3").toArrow()
-    feature, other, toxic = (table.column(c).to_numpy() for c in ("feature", "other", "toxic"))
-    n_other, n_toxic = int(other[feature < 0].sum()), int(toxic[feature < 0].sum())
-    if not n_other or not n_toxic:
-        return rows.select("doc_id", F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
-    weights = np.zeros(FEATURES, np.float32)
-    real = feature >= 0
-    weights[feature[real]] = log_ratios(other[real], toxic[real], n_other, n_toxic)
+    def total(of: DataFrame, run) -> tuple[np.ndarray, np.ndarray, int]:
+        """Features, sorted, in how many texts, and how many texts there are."""
+        sums = of.select("text").mapInArrow(run, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n"))
+        got = sums.where("feature is null or n >= 3" if of is bad else "true").toArrow()
+        real = got.filter(pc.is_valid(got.column("feature")))
+        texts = pc.sum(got.filter(pc.is_null(got.column("feature"))).column("n")).as_py() or 0
+        feature, n = real.column("feature").to_numpy().view(np.uint64), real.column("n").to_numpy()
+        order = np.argsort(feature)
+        return feature[order], n[order], texts
+
+    bad = known.where("toxic = 1")
+    nothing = rows.select("doc_id", F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
+    feature, toxic, n_toxic = total(bad, _count_features(model_of))
+    if not n_toxic:
+        return nothing
+    candidates = sc.broadcast(feature if len(feature) else np.zeros(1, np.uint64))
+    found, n, n_other = total(known.where("toxic = 0"), _count_known(model_of, candidates))
+    if not n_other:
+        return nothing
+    other = np.zeros(len(feature), np.int64)
+    if len(feature):
+        other[np.searchsorted(feature, found)] = n
+    ratios = log_ratios(other, toxic, n_other, n_toxic)
+    weights = Weights(feature[ratios > 0], ratios[ratios > 0])
     shared = sc.broadcast(weights)
 
     share = min(1.0, calibration / (n_other + n_toxic))

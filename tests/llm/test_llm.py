@@ -5,6 +5,7 @@ import hashlib
 import io
 import random
 import re
+import types
 import zlib
 
 import pytest
@@ -279,6 +280,38 @@ def test_restored_disguises():
     assert not any(got[2 * i + 1] for i in range(len(want))) and not any(got[2 * len(want) + i] for i in range(len(clean)))
 
 
+def test_toxicity_features_are_exact(monkeypatch):
+    """Two words whose hashes agree in 20 bits keep counts and weights of their own."""
+    import numpy as np
+    import pyarrow as pa
+
+    seen, pair = {}, None
+    for i in range(20_000):
+        word = f"{'abcdefghij'[i % 10]}" + "".join(chr(107 + int(c)) for c in str(i))
+        data = np.frombuffer(word.encode(), np.uint8)
+        key = int(toxicity.word_features(data, np.array([0, len(data)]))[0][0, 0]) >> 44
+        if key in seen:
+            pair = seen[key], word
+            break
+        seen[key] = word
+    bad, good = pair
+    grams = np.zeros(language_id.GRAMS, np.int64)
+    h = {w: int(toxicity.word_features(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)]))[0].view(np.int64)[0, 0]) for w in pair}
+    known = types.SimpleNamespace(value=np.array([h[bad]]).view(np.uint64))
+    batch = pa.RecordBatch.from_arrays([pa.array([bad] * 4 + [f"{good} {good}"] * 6)], names=["text"])
+    model = lambda: toxicity.CharacterModel(grams)
+    for held in (1 << 20, 1):
+        monkeypatch.setattr(toxicity, "HELD", held)
+        for run, want in ((toxicity._count_features(model), {h[bad]: 4, h[good]: 6, None: 20}), (toxicity._count_known(model, known), {h[bad]: 4, h[good]: 0, None: 20})):
+            total = collections.Counter()
+            for out in run([batch, batch]):
+                for f, n in zip(*(c.to_pylist() for c in out.columns)):
+                    total[f] += n
+            assert {f: total[f] for f in want} == {f: n * (1 if f is None else 2) for f, n in want.items()}
+    weights = toxicity.Weights(np.array([h[bad]]).view(np.uint64), np.array([2.0], np.float32))
+    assert weights.of(np.array([h[bad], h[good]]).view(np.uint64)).tolist() == [2.0, 0.0]
+
+
 def test_toxicity_empty(spark, odd, empty):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert {r.score for r in toxicity.score(odd, none).collect()} == {0.0}
