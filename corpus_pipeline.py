@@ -36,14 +36,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them, sorted by their place in it over
-    the whole output."""
+    the whole output: partitions, and the files written of them by name, follow the schedule."""
     mixed = mixing.mix(docs)
-    return mixed.sortWithinPartitions("__slot", "__place").select(*docs.columns)
+    return mixed.repartitionByRange("__slot", "__place").sortWithinPartitions("__slot", "__place").select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document of the mix."""
-    return bpe.encode_documents(docs.select("doc_id", "source", "text")).select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    """Token ids of every document of the mix, in the order of the mix: that of the files by
+    name and of the rows in them, which Spark's reader doesn't keep by itself."""
+    place = ["__file", "__start", "__row"]
+    rows = docs.select("doc_id", "source", "text", F.input_file_name().alias("__file"), F.input_file_block_start().alias("__start"), F.monotonically_increasing_id().alias("__row"))
+    rows = rows.repartitionByRange(*place).sortWithinPartitions(*place)
+    return bpe.encode_documents(rows.select("doc_id", "source", "text")).select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 
 STAGES = [

@@ -536,6 +536,24 @@ def test_pipeline_odd(spark, odd):
         docs.count()
 
 
+def test_pipeline_keeps_the_order_of_the_mix(spark, tmp_path):
+    """The stages' files by name, and the rows in them, follow the schedule, also with a hot source."""
+    import corpus_pipeline
+
+    docs = docs_of(spark, [(i, f"text {i}", "en", s) for i, s in enumerate(["a"] * 300 + ["b"] * 70 + ["c"] * 30)])
+    want = [(r.doc_id, r.source) for r in mixing.mix(docs).orderBy("__slot", "__place").collect()]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for i, stage in enumerate((corpus_pipeline.mix_sources, corpus_pipeline.encode)):
+            stage(spark, docs, "").write.parquet(f"{tmp_path}/{i}")
+            files = sorted((tmp_path / f"{i}").glob("*.parquet"))
+            got = [(r.doc_id, r.source) for f in files for r in spark.read.parquet(str(f)).coalesce(1).collect()]
+            assert got == want and len(files) > 1
+            docs = spark.read.parquet(f"{tmp_path}/{i}")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_held_out(spark):
     df = spark.range(200).withColumn("h", language_id.held_out("id", 3, 1))
     assert all(r.h == (zlib.crc32(str(r.id).encode()) % 3 == 1) for r in df.collect())
