@@ -160,8 +160,9 @@ def mcd(rows: DataFrame, groups: DataFrame, total: int, share: float = SHARE, st
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", cutoff: float = CUTOFF, min_group: int = MIN_GROUP) -> DataFrame:
     """One row per row of docs: doc_id, the five counts, base_failed, kept, distance
-    (squared; null where only the base rules decide)."""
-    named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"))
+    (squared; null where only the base rules decide). Ids are longs, or strings as they are."""
+    key = F.col(id_col) if docs.schema[id_col].dataType.simpleString() == "string" else F.col(id_col).cast("long")
+    named = docs.select(key.alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"))
     counted = base_counts(named).withColumn("base_failed", base_failed())
     stats = materialize(counted.select("*", *[x.alias(n) for x, n in zip(vector(), _X)]), "statistics")
     passed = stats.where("not base_failed")

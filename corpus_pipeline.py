@@ -7,31 +7,56 @@ a text are one document here.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from avrolith.llm import bpe, exact_dedup, mixing, near_dedup, quality
 from avrolith.llm.common import materialize, read_table
 
 
-def _keep(docs: DataFrame, kept_ids: DataFrame) -> DataFrame:
-    """The rows of docs whose id is among kept_ids; rows that repeat an id and text once."""
-    return docs.join(kept_ids.select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
+def _digest() -> Column:
+    return F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
+
+
+def _keep(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of docs whose own verdict, found by all columns of kept (null equals null), is to stay."""
+    keys = kept.columns
+    kept = kept.distinct().toDF(*[f"__kept_{k}" for k in keys])
+    return docs.join(kept, [F.col(k).eqNullSafe(F.col(f"__kept_{k}")) for k in keys], "left_semi")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or the outlier test reject go."""
-    return _keep(docs, quality.judge(docs).where("kept"))
+    row = F.to_json(F.struct("doc_id", "lang", "source"), {"ignoreNullFields": "false"})
+    keyed = docs.withColumn("__key", F.sha2(F.concat(_digest(), row), 256))
+    kept = quality.judge(keyed, id_col="__key").where("kept").select(F.col("doc_id").alias("__key"))
+    return _keep(keyed, kept).select(*docs.columns)
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the one with the largest id stays."""
-    return _keep(docs, exact_dedup.exact_dedup(docs).where("kept")).dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    """Of equal texts the one with the largest id stays; one without an id if none has any."""
+    keyed = docs.withColumn("__digest", _digest())
+    kept = exact_dedup.exact_dedup(docs).where("kept").select("doc_id", F.col("text_sha256").alias("__digest"))
+    return _keep(keyed, kept).dropDuplicates(["doc_id", "__digest"]).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies (five-word shingles, 0.8) the smallest id stays."""
-    return _keep(docs, near_dedup.near_duplicates(docs).where("kept"))
+    """Of each component of near copies (five-word shingles, 0.8) the smallest id stays.
+
+    Rows without an id, and those of an id's texts that don't have its smallest digest,
+    are compared under ids of their own, beyond all others."""
+    keyed = docs.withColumn("__digest", _digest())
+    pairs = materialize(keyed.select("doc_id", "__digest").distinct(), "pairs")
+    first = pairs.where("doc_id is not null").groupBy("doc_id").agg(F.min("__digest").alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    odd = pairs.where("doc_id is null").unionByName(pairs.join(first, "doc_id").where("__digest <> first").select("doc_id", "__digest"))
+    beyond = (pairs.agg(F.max("doc_id")).first()[0] or 0) + 1
+    odd = materialize(odd.select(F.col("doc_id").alias("__odd"), F.col("__digest").alias("__odd_digest"), (F.lit(beyond) + F.monotonically_increasing_id()).alias("__new")), "odd")
+    if odd.isEmpty():
+        return _keep(docs, near_dedup.near_duplicates(docs).where("kept").select("doc_id"))
+    keyed = keyed.join(odd, F.col("doc_id").eqNullSafe(F.col("__odd")) & (F.col("__digest") == F.col("__odd_digest")), "left")
+    keyed = keyed.select(*docs.columns, F.coalesce("__new", "doc_id").alias("__id"))
+    kept = near_dedup.near_duplicates(keyed, id_col="__id").where("kept").select(F.col("doc_id").alias("__id"))
+    return _keep(keyed, kept).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

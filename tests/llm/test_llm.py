@@ -554,6 +554,26 @@ def test_pipeline_keeps_the_order_of_the_mix(spark, tmp_path):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
+def test_pipeline_keeps_rows_by_their_own_verdict(spark):
+    """Rows without an id, and an id with two texts, through the stages that filter."""
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    text = lambda: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(120))
+    clean, other, twin, near = text(), text(), text(), text()
+    rows = [(None, clean, "en", "a"), (None, clean, "en", "a"), (1, other, "en", "a"), (1, "too short", "en", "a"), (2, twin, "en", "a"), (3, twin, "en", "a"), (None, twin, "en", "a"), (2, near, "en", "a"), (4, near + " end", "en", "a"), (None, near + " last", "en", "a"), (5, other + " x", "en", "a")]
+    base = docs_of(spark, rows).select("doc_id", "text", "lang", "source", "n_chars")
+    quality_ = corpus_pipeline.quality_rules(spark, base, "")
+    assert rows_of(quality_.select("doc_id", "text")) == sorted([r[:2] for r in rows if r[1] != "too short"], key=repr)
+    exact = corpus_pipeline.exact_duplicates(spark, quality_, "")
+    left = [(None, clean), (1, other), (3, twin), (2, near), (4, near + " end"), (None, near + " last"), (5, other + " x")]
+    assert rows_of(exact.select("doc_id", "text")) == sorted(left, key=repr)
+    both = exact.union(spark.createDataFrame([(3, clean + " y", "en", "a", 1), (3, text(), "en", "a", 1)], exact.schema))
+    got = {(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, both, "").collect()}
+    assert {(1, other), (3, twin), (2, near)} <= got and len(got) == 5
+    assert sum(x[1] in (clean, clean + " y") for x in got) == 1
+
+
 def test_held_out(spark):
     df = spark.range(200).withColumn("h", language_id.held_out("id", 3, 1))
     assert all(r.h == (zlib.crc32(str(r.id).encode()) % 3 == 1) for r in df.collect())
