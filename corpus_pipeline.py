@@ -7,6 +7,7 @@ a text are one document here.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,7 +71,11 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document of the mix, in the order of the mix: that of the files by
     name and of the rows in them, which Spark's reader doesn't keep by itself."""
     place = ["__file", "__start", "__row"]
-    rows = docs.select("doc_id", "source", "text", F.input_file_name().alias("__file"), F.input_file_block_start().alias("__start"), F.monotonically_increasing_id().alias("__row"))
+    rows = docs.select("doc_id", "source", "text", F.monotonically_increasing_id().alias("__row"))
+    try:
+        rows = rows.select("*", F.input_file_name().alias("__file"), F.input_file_block_start().alias("__start"))
+    except AnalysisException:  # not read from files of one table: partitions are in order
+        place = ["__row"]
     rows = rows.repartitionByRange(*place).sortWithinPartitions(*place)
     return bpe.encode_documents(rows.select("doc_id", "source", "text")).select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
