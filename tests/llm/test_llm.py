@@ -5,6 +5,7 @@ import hashlib
 import io
 import random
 import re
+import time
 import types
 import zlib
 
@@ -337,6 +338,94 @@ def test_html(page, text):
     assert html_extract.extract_text(page) == text
 
 
+_PROSE = "Real text, with commas, and some more of it to be read. " * 4
+
+
+@pytest.mark.parametrize(
+    "around",
+    [
+        '<div style="overflow:hidden">%s</div>', '<div class="overflow-hidden">%s</div>', '<div class="layout has-sidebar"><div class="sidebar"><p>Ad, ad, ad.</p></div>%s</div>', '<div id="legal">%s</div>',
+        '<div class="widget">%s</div>', '<form id="aspnetForm">%s</form>', '<div class="row no-nav"><nav>Menu</nav>%s</div>', "<td>%s", '<div class="page search">%s</div>',
+    ],
+)
+@pytest.mark.parametrize("inner", ["<article><h1>T</h1><p>%s</article>", "<article><svg viewBox='0'/><button-group>T</button-group><p>%s</p></article>", "<div><h1>T</h1><p>%s</p></div>", "<article><header><h1>T</h1><p>By me</p></header><p>%s</p><footer>x</footer></article>"])
+def test_html_wrappers(around, inner):
+    page = "<head><title>t</title><body><nav><a href=/>Home</a></nav>" + around % (inner % _PROSE) + "<div class=cookie-banner><p>We use cookies, many, many, many cookies.</p></div><footer>c</footer>"
+    assert html_extract.extract_text(page) == "T " + _PROSE.strip()
+
+
+@pytest.mark.parametrize("name", ["id='Side_effects'", "id='related-work'", "id='search-results'", "id='discussion'", "id='legal'", "class='no-share'"])
+@pytest.mark.parametrize("tag", ["h2", "section", "p"])
+def test_html_names_inside_an_article(name, tag):
+    inner = f"<{tag} {name}>Some words of the article, all of it.</{tag}>"
+    assert html_extract.extract_text(f"<article><p>{_PROSE}</p>{inner}</article>") == _PROSE + "Some words of the article, all of it."
+
+
+@pytest.mark.parametrize(
+    "page",
+    [  # templates without an article element, with remarks of readers that are longer than the text
+        f"<div id=page><div class='site-header'><p>Welcome, to, us</p></div><div class=columns><div id=left-sidebar><ul><li><a href=1>one</a><li><a href=2>two</a></ul></div><div class=post><p>{_PROSE}</p><div class='share-buttons'>Share</div><p>{_PROSE}</p></div></div><div id=comments><ol class=commentlist>" + f"<li><article class=comment><p>{_PROSE}</p></article></li>" * 9 + "</ol></div></div>",
+        f"<body><main><p>{_PROSE}<p>{_PROSE}<div hidden><p>{_PROSE}</p></div><div style='color:red; display: none'>{_PROSE}</div><section class='related-posts'><article><p>See, also</article></section></main>",
+        f"<table><tr><td class=sidebar><p>Ad, ad</p></td><td><p>{_PROSE}</p><p>{_PROSE}</p><td class=ads>ad</table><div class=footer>c</div>",
+        f"<div><p>{_PROSE}</p><p>{_PROSE}</p><p class=ad>Buy, buy, buy, now.</p><noscript><p>Turn it on</p></noscript><select><option>a<option>b</select></div><script>if (a < b) '<p>no</p>'</script>",
+    ],
+)
+def test_html_templates(page):
+    assert html_extract.extract_text(page) == (_PROSE * 2).strip()
+
+
+@pytest.mark.parametrize("page, text", [("<div>" * 200_000 + "deep", "deep"), ("<div><p>words " * 20_000, ("words " * 20_000).strip()), ("<a x=\"><b\" x=\"" * 5_000, None), ("<!" * 100_000, "<!" * 100_000), ("<ul><li>x " * 20_000, ("x " * 20_000).strip()), ("<b><p>x" * 20_000, ("x " * 20_000).strip()), ("<script>a" * 50_000, ""), ("<textarea>a " * 20_000, ("a " * 20_000).strip())])
+def test_html_takes_time_in_proportion(page, text):
+    begin = time.process_time()
+    got = html_extract.extract_text(page)
+    assert time.process_time() - begin < 20 and (text is None or got == text)
+
+
+def test_html_scores():
+    """Points by brute force: every paragraph walks up to the root."""
+    rng = random.Random(7)
+
+    def page(depth):
+        out = []
+        for _ in range(rng.randint(1, 4)):
+            tag = rng.choice("div div section article td blockquote p p p span b".split())
+            text = ", ".join("word" * rng.randint(1, 9) for _ in range(rng.randint(0, 12)))
+            link = f"<a href=1>{text}</a>" if rng.random() < 0.2 else text
+            out.append(f"<{tag}>{link}" + (page(depth - 1) if depth and tag not in ("p", "span", "b") else "") + f"</{tag}>")
+        return "".join(out)
+
+    for _ in range(150):
+        root = html_extract.parse(page(4))
+        nodes = html_extract._order(root)
+        html_extract.measure(nodes)
+        want = {n: html_extract._START.get(n.tag, 0) if n.length else 0 for n in nodes if n.block}
+
+        def own(n):
+            """(text, of it in links) outside inner blocks."""
+            found = []
+            for x in n.items:
+                if isinstance(x, str):
+                    found.append((x.strip(), n.tag == "a"))
+                elif not x.block:
+                    found += own(x)
+            return [(t, inside or n.tag == "a") for t, inside in found]
+
+        for n in want:
+            pieces = own(n)
+            size, linked, commas = sum(len(t) for t, _ in pieces), sum(len(t) for t, a in pieces if a), sum(t.count(",") for t, _ in pieces)
+            paragraph = n.tag in html_extract._PARAGRAPHS
+            if size and (paragraph or size > 20):
+                points, up = (1 + commas + min(size / 100, 3)) * (1 - linked / size), n.parent if paragraph else n
+                while up is not None:
+                    if up.block:
+                        want[up] += points
+                        points /= 2
+                    up = up.parent
+        assert all(abs(n.score - want[n]) < 1e-6 for n in want)
+        best = html_extract.best_container(nodes)
+        assert best is None or best.score * (1 - best.linked / best.length) == max(n.score * (1 - (n.linked / n.length if n.length else 0)) for n in want)
+
+
 def test_html_pages(spark):
     rows = [(1, None, None), (1, "u", "<p>x</p>"), (2, "u", "<div>" * 5000 + "deep" + "</p>" * 10), (3, "u", "<article><p>" + LONG + "</article>")]
     df = spark.createDataFrame([(*r, "t") for r in rows], "page_id long, url string, html string, text string")
