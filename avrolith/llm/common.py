@@ -9,11 +9,11 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A key is hot when it holds more than 1/HOT_SHARE of all rows, so there are
-#: fewer than HOT_SHARE hot keys whatever the size of the input.
+#: A key is hot when it holds more rows than an even share of a shuffle partition has, or
+#: more than 1/HOT_SHARE of all rows; so there are fewer hot keys than partitions (or HOT_SHARE).
 HOT_SHARE = 1000
 
 _own_dirs: dict[str, str] = {}
@@ -73,20 +73,25 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def hot(count: str, total: int, spark: SparkSession) -> Column:
+    """Whether a key with so many of total rows is hot."""
+    return F.col(count) * max(HOT_SHARE, shuffle_partitions(spark)) > F.lit(total)
+
+
 def lookup_join(big: DataFrame, table: DataFrame, keys: list[str], count: str, total: int, spread: str) -> DataFrame:
     """Inner join of big with table, whose keys are unique and not null; count
     holds how many rows of big have the key, of total rows.
 
-    Hot keys (over total / HOT_SHARE rows, hence fewer than HOT_SHARE of them) are
+    Hot keys (see HOT_SHARE; fewer than there are shuffle partitions) are
     broadcast; all other keys go through a shuffle. Rows with a hot key get a
     key of their own there (from the long column spread), so that they don't
     meet in one task.
     """
     values = [c for c in table.columns if c not in keys]
-    is_hot = F.col(count) * HOT_SHARE > F.lit(total)
-    hot = table.where(is_hot).select(*[F.col(k).alias(f"__h_{k}") for k in keys], F.struct(*values).alias("__hot"))
+    is_hot = hot(count, total, big.sparkSession)
+    hot_ones = table.where(is_hot).select(*[F.col(k).alias(f"__h_{k}") for k in keys], F.struct(*values).alias("__hot"))
     cold = table.where(~is_hot).select(*[F.col(k).alias(f"__c_{k}") for k in keys], F.lit(-1).cast("long").alias("__own"), F.struct(*values).alias("__cold"))
-    out = big.join(F.broadcast(hot), [F.col(k).eqNullSafe(F.col(f"__h_{k}")) for k in keys], "left")
+    out = big.join(F.broadcast(hot_ones), [F.col(k).eqNullSafe(F.col(f"__h_{k}")) for k in keys], "left")
     own = F.when(F.col("__hot").isNull(), F.lit(-1).cast("long")).otherwise(F.abs(F.col(spread)))
     out = out.withColumn("__own_l", own)
     out = out.join(cold, [F.col(k) == F.col(f"__c_{k}") for k in keys] + [F.col("__own_l") == F.col("__own")], "left")

@@ -1,14 +1,14 @@
 """Near-duplicate detection with SetSketch registers.
 
-Each text becomes the set of its word shingles. A set's sketch holds, for each of
+Each text becomes the set of its word shingles, told apart by the words themselves. A set's sketch holds, for each of
 M registers, the minimum of exponential variates of its elements, truncated
 to whole powers of BASE (two bytes): mergeable, and equal for two sets with
-a probability that rises with their Jaccard similarity. Sketches of equal sets are
-worked off once, as one class. Bands of ROWS registers give buckets of
+a probability that rises with their Jaccard similarity. Equal sets (of one size and one keyed
+128-bit digest) are worked off once, as one class. Bands of ROWS registers give buckets of
 candidates. Within a bucket the similarity of pairs is estimated by maximum
 likelihood from how many registers are smaller, equal and larger; a maximum
 spanning forest of the pairs that may reach the threshold is kept and verified on
-the full shingle sets. Pairs of members that the verified links leave in different
+the full shingle sets of the texts, which no hash stands for. Pairs of members that the verified links leave in different
 components are then estimated and verified one by one, so that no link which
 could join two components is passed over; links inside a component aren't needed.
 
@@ -19,7 +19,7 @@ to 1 that sets of one size without a common element share a bucket with probabil
 
 Skew: copies are one class before anything is paired; bucket sizes are
 pre-aggregated and come back by lookup_join; a large bucket is cut into blocks
-of about BLOCK members, and each block is joined into components by itself. Of a bucket
+of about BLOCK members (and, where texts are read, of about BLOCK_SHINGLES shingles), and each block is joined into components by itself. Of a bucket
 that still has several components, the members outside the largest are cut into blocks
 of their own and compared crosswise with all blocks, within a task, which passes on
 only links that join components. Members of the largest component aren't compared with
@@ -28,13 +28,14 @@ size, not its square. No bucket is dropped or capped, and no group is expanded i
 rows for its pairs.
 
 Defined results: null and empty texts have an empty set, are linked with nothing
-and form their own components; repeated rows have one component_id; an empty
+and form their own components, as do rows without an id; repeated rows have one component_id;
+rows that repeat an id with different texts are linked each by its own text; an empty
 table gives an empty result. Only the id and text columns are read.
 """
 
 from __future__ import annotations
 
-import functools
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -43,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from avrolith.llm.common import lookup_join, materialize, mix64, shuffle_partitions, slices, text_buffers
+from avrolith.llm.common import hot, lookup_join, materialize, mix64, shuffle_partitions, slices, text_buffers
 
 SHINGLE = 5
 THRESHOLD = 80  # per cent
@@ -54,37 +55,33 @@ RATE = 20.0
 REGISTER = np.dtype("<u2")
 MARGIN = 0.17
 BLOCK = 512
-#: Ids (of 8 bytes) that may be broadcast.
-BROADCAST_IDS = 1_000_000
+#: Shingles whose texts a block holds, one text at least.
+BLOCK_SHINGLES = 1 << 21
 #: Ids among which a task contracts links at a time.
 CONTRACT = 1 << 20
 
 # --- shingles ---------------------------------------------------------------
 
 _RNG = np.random.default_rng(20240229)
-_BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BYTE[ord("A") : ord("Z") + 1] = _BYTE[ord("a") : ord("z") + 1]  # A-Z count as a-z
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[ord("A") : ord("Z") + 1] += 32
 _POWER = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_POWER, -1, 1 << 64)
-_COEF = _RNG.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_COEF = _RNG.integers(1, 2**63, (2, 64), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
+_KEY = b"near duplicates"
+_LANES = _RNG.integers(1, 2**63, (2, 2), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_LOW_BYTES = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 
 
-@functools.lru_cache(maxsize=2)
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = np.full(size, _POWER, np.uint64), np.full(size, _INVERSE, np.uint64)
-    up[0] = down[0] = 1
-    return np.cumprod(up), np.cumprod(down)
-
-
-def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words of some texts, in order, and the text's number of each."""
+def words_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """All words of some texts, in order, as numbers into the distinct ones (compared byte by
+    byte), these, and where each text's begin (n + 1)."""
     base, end = int(offsets[0]), int(offsets[-1])
     data, off = raw[base:end], offsets - base
     n = len(data)
     if not n:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), pa.array([], pa.large_binary()), np.zeros(len(offsets), np.int64)
     inside = ~_BLANK[data]
     before = np.empty(n, bool)
     before[0] = False
@@ -92,46 +89,99 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     cuts = off[:-1][off[:-1] < n]
     before[cuts] = False
     starts = np.flatnonzero(inside & ~before)
-    after = np.empty(n, bool)
-    after[-1] = False
-    after[:-1] = inside[1:]
-    after[cuts[cuts > 0] - 1] = False
-    ends = np.flatnonzero(inside & ~after) + 1
-    up, down = _powers(1 << max(20, (n - 1).bit_length()))
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE[data] * up[:n], out=total[1:])
-    words = mix64((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-    return words, np.searchsorted(off, starts, side="right") - 1
-
-
-def shingle_sets(raw: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct shingle hashes of each text, one after another, and where each text's begin (n + 1)."""
-    words, text = word_hashes(raw, offsets)
-    n = len(offsets) - 1
-    count = np.bincount(text, minlength=n)
-    first = np.concatenate([[0], np.cumsum(count)])
-    have = np.maximum(count - k + 1, 0)
-    shingles = np.zeros(max(0, len(words) - k + 1), np.uint64)
-    if len(shingles):
-        for j in range(k):
-            shingles += words[j : len(words) - k + 1 + j] * _COEF[j]
-        mix64(shingles)
-    pieces, sizes = [], np.zeros(n, np.int64)
+    total = np.zeros(n + 1, np.int64)
+    np.cumsum(inside, out=total[1:])
+    at = total[np.append(starts, n)]
+    words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(at), pa.py_buffer(_LOWER[data[inside]])])
+    coded = words.dictionary_encode()
+    return coded.indices.to_numpy().astype(np.int64), coded.dictionary, np.searchsorted(starts, off)
+
+
+def window_names(words: np.ndarray, k: int) -> np.ndarray:
+    """A number for each window of k words: equal for equal windows and for no others."""
+    names, width = words, 1
+    while width < k and len(names):
+        step = min(width, k - width)
+        names = names[:-step] * (int(names.max()) + 1) + names[step:]
+        width += step
+        if width < k:
+            names = pa.array(names).dictionary_encode().indices.to_numpy().astype(np.int64)
+    return names
+
+
+def _word_digests(distinct: pa.Array) -> np.ndarray:
+    """Keyed 128-bit digests of words (2 x words), mixed in two lanes after every eight bytes."""
+    data, off = text_buffers(distinct)
+    size = np.diff(off)
+    padded = np.concatenate([data[off[0] : off[-1]], np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))
+    at, out = off[:-1] - off[0], np.stack([mix64(size.astype(np.uint64) + key) for key in _LANES[:, 0]])
+    left = np.arange(len(size))
+    while len(left):
+        chunk = eight[at[left]] & _LOW_BYTES[np.minimum(size[left], 8)]
+        for lane in (0, 1):
+            out[lane, left] = mix64(out[lane, left] * _LANES[lane, 1] + chunk)
+        at, size = at + 8, size - 8
+        left = left[size[left] > 0]
+    return out
+
+
+def shingle_sets(raw: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Of some texts: 64-bit hashes of the distinct shingles, sorted in each text, one text after
+    another; where each text's begin (n + 1); and a digest of each set, by 128 bits of every
+    shingle (empty for empty sets). What is distinct is decided by the words."""
+    words, distinct, first = words_of(raw, offsets)
+    n, count = len(offsets) - 1, np.diff(first)
+    names = window_names(words, k)
+    lanes = _word_digests(distinct)[:, words] if len(words) else np.zeros((2, 0), np.uint64)
+    hashes = []
+    for lane in (0, 1):
+        one = np.zeros(len(names), np.uint64)
+        if len(names):
+            for j in range(k):
+                one += lanes[lane, j : len(words) - k + 1 + j] * _COEF[lane, j]
+        hashes.append(mix64(one))
+    pieces, sizes, digests = [], np.zeros(n, np.int64), []
     for i in range(n):
-        if have[i]:
-            own = np.sort(shingles[first[i] : first[i] + have[i]])
-            new = np.empty(len(own), bool)
+        a, have = first[i], count[i] - k + 1
+        if have > 0:
+            h, g, name = hashes[0][a : a + have], hashes[1][a : a + have], names[a : a + have]
+            order = h.argsort()
+            h, name = h[order], name[order]
+            new = np.empty(have, bool)
             new[0] = True
-            np.not_equal(own[1:], own[:-1], out=new[1:])
-            own = own[new]
+            np.not_equal(name[1:], name[:-1], out=new[1:])
+            if (h[1:] == h[:-1])[new[1:]].any():  # one hash of two shingles: by names
+                order = order[np.lexsort((name, h))]
+                h, name = hashes[0][a : a + have][order], names[a : a + have][order]
+                new[1:] = name[1:] != name[:-1]
+            own, other = h[new], g[order[new]]
         elif count[i]:
-            own = words[first[i] : first[i + 1]]
-            own = mix64((own * _COEF[16 : 16 + len(own)]).sum(keepdims=True) + np.uint64(count[i]))
+            own, other = (mix64((lanes[lane, a : first[i + 1]] * _COEF[lane, 16 : 16 + count[i]]).sum(keepdims=True) + np.uint64(count[i])) for lane in (0, 1))
         else:
+            digests.append(b"")
             continue
         pieces.append(own)
         sizes[i] = len(own)
-    return (np.concatenate(pieces) if pieces else np.zeros(0, np.uint64)), np.concatenate([[0], np.cumsum(sizes)])
+        digests.append(hashlib.blake2b(np.stack([own, other]).tobytes(), digest_size=16, key=_KEY).digest())
+    return (np.concatenate(pieces) if pieces else np.zeros(0, np.uint64)), np.concatenate([[0], np.cumsum(sizes)]), digests
+
+
+def exact_sets(raw: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarray]:
+    """The sets of distinct shingles of some texts, as numbers that equal shingles share, and no others."""
+    words, _, first = words_of(raw, offsets)
+    names = window_names(words, k)
+    short: dict[tuple, int] = {}
+    out = []
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
+        if b - a >= k:
+            own = np.sort(names[a : b - k + 1])
+            out.append(own[np.append(True, own[1:] != own[:-1])])
+        elif b > a:
+            out.append(np.array([-1 - short.setdefault(tuple(words[a:b].tolist()), len(short))], np.int64))
+        else:
+            out.append(np.zeros(0, np.int64))
+    return out
 
 
 # --- sketches ---------------------------------------------------------------
@@ -189,19 +239,14 @@ def _registers(elements, begins, sizes, rows):
 def _sketch_documents(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, offsets = text_buffers(batch.column(1))
+            raw, offsets = text_buffers(batch.column(2))
             for a, b in slices(offsets, 1 << 20):
-                elements, begins = shingle_sets(raw, offsets[a : b + 1], k)
-                sizes = np.diff(begins)
+                elements, begins, digests = shingle_sets(raw, offsets[a : b + 1], k)
                 regs = sketches(elements, begins)
-                sums = []
-                for salt in (0x5851F42D4C957F2D, 0x14057B7EF767814F):
-                    mixed = np.concatenate([mix64(elements * np.uint64(salt)), np.zeros(1, np.uint64)])
-                    total = np.add.reduceat(mixed, begins[:-1]) if b > a else np.zeros(0, np.uint64)
-                    sums.append(np.where(sizes > 0, total, 0).astype(np.uint64).view(np.int64))
+                sums = np.frombuffer(b"".join(d or bytes(16) for d in digests), np.int64).reshape(-1, 2)
                 flat = pa.py_buffer(np.ascontiguousarray(regs).tobytes())
                 registers = pa.FixedSizeBinaryArray.from_buffers(pa.binary(M * REGISTER.itemsize), b - a, [None, flat]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sizes, pa.int64()), pa.array(sums[0]), pa.array(sums[1]), registers], names=["doc_id", "n", "s1", "s2", "regs"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(np.diff(begins), pa.int64()), pa.array(sums[:, 0]), pa.array(sums[:, 1]), registers], names=["doc_id", "h", "n", "s1", "s2", "regs"])
 
     return run
 
@@ -393,9 +438,9 @@ def _crosswise(k: int, threshold: int):
         pairs: list[tuple[int, int]] = []
         for g in _grouped(batches, 3):
             comp = g["comp"]
-            elements, begins = shingle_sets(*g["text"], k)
-            sizes = np.diff(begins)
-            shared = shared_counts([elements[begins[x] : begins[x + 1]] for x in range(len(comp))])
+            sets = exact_sets(*g["text"], k)
+            sizes = np.array([len(x) for x in sets])
+            shared = shared_counts(sets)
             good = (100 * shared >= threshold * (sizes[:, None] + sizes[None, :] - shared)) & (comp[:, None] < comp[None, :]) & (shared > 0)
             joined = _Union()
             pairs.extend((int(comp[x]), int(comp[y])) for x, y in zip(*np.nonzero(good)) if joined.join(int(comp[x]), int(comp[y])))
@@ -412,39 +457,44 @@ def _verify(k: int, threshold: int):
         for batch in batches:
             left, right = text_buffers(batch.column(2)), text_buffers(batch.column(3))
             good = np.zeros(batch.num_rows, bool)
-            for i0 in range(0, batch.num_rows, 256):
-                i1 = min(i0 + 256, batch.num_rows)
-                ea, ba = shingle_sets(left[0], left[1][i0 : i1 + 1], k)
-                eb, bb = shingle_sets(right[0], right[1][i0 : i1 + 1], k)
+            both = left[1] + right[1]
+            for i0, i1 in slices(both, 1 << 20):
+                (raw_a, a), (raw_b, b) = ((raw[off[i0] : off[i1]], off[i0 : i1 + 1] - off[i0]) for raw, off in (left, right))
+                sets = exact_sets(np.concatenate([raw_a, raw_b]), np.concatenate([a, b[1:] + a[-1]]), k)
                 for i in range(i1 - i0):
-                    x, y = ea[ba[i] : ba[i + 1]], eb[bb[i] : bb[i + 1]]
-                    both = np.concatenate([x, y])
-                    both.sort()
-                    shared = int((both[1:] == both[:-1]).sum())
+                    x, y = sets[i], sets[i1 - i0 + i]
+                    all_ = np.concatenate([x, y])
+                    all_.sort()
+                    shared = int((all_[1:] == all_[:-1]).sum())
                     good[i0 + i] = shared > 0 and 100 * shared >= threshold * (len(x) + len(y) - shared)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(good)), batch.column(1).filter(pa.array(good))], names=["a", "b"])
 
     return run
 
 
-def _texts(keyed: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, text) of the ids. Up to BROADCAST_IDS of them are broadcast, so that the other
-    texts are not shuffled to be left out; beyond, it is a shuffle join."""
-    ids = materialize(ids, "ids")
-    few = ids.count() <= BROADCAST_IDS
-    return materialize(keyed.join(F.broadcast(ids) if few else ids.hint("merge"), "id"), "texts")
+def _texts(keyed: DataFrame, classes: DataFrame, wanted: DataFrame, total: int) -> DataFrame:
+    """(rep, text) of the classes wanted, each once: the text of the row of the class with the smallest id."""
+    wanted = materialize(classes.select("rep", "id", "h", "copies").join(wanted, "rep"), "wanted-texts")
+    # Rows that are repeated very often (no oftener than their class has copies) aren't shuffled.
+    is_hot = hot("copies", total, keyed.sparkSession)
+    often = F.broadcast(wanted.where(is_hot).select("rep", "id", "h"))
+    once = F.first("text").alias("text")
+    found = keyed.join(often, ["id", "h"]).groupBy("rep").agg(once)
+    others = keyed.join(often, ["id", "h"], "left_anti").join(wanted.where(~is_hot).select("rep", "id", "h").hint("merge"), ["id", "h"])
+    found = materialize(found.union(others.select("rep", "text")), "texts")
+    # a row that is repeated gives its text again
+    return found if found.count() == wanted.count() else materialize(found.groupBy("rep").agg(once), "texts-once")
 
 
-def _links(pairs: DataFrame, keyed: DataFrame, k: int, threshold: int) -> DataFrame:
-    """The pairs (a, b) of class representatives that are linked, on their full texts."""
+def _links(pairs: DataFrame, keyed: DataFrame, classes: DataFrame, total: int, k: int, threshold: int) -> DataFrame:
+    """The pairs (a, b) of classes that are linked, on their full texts."""
     pairs = materialize(pairs.distinct(), "pairs")
     if pairs.isEmpty():
         return pairs
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    of = _texts(keyed, wanted)
+    of = _texts(keyed, classes, pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct(), total)
     # A text that very many pairs share is split by Spark's skew join: both sides are plain shuffles.
-    text_a = of.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
-    text_b = of.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
+    text_a = of.select(F.col("rep").alias("a"), F.col("text").alias("text_a"))
+    text_b = of.select(F.col("rep").alias("b"), F.col("text").alias("text_b"))
     joined = pairs.join(text_a, "a").join(text_b, "b").select("a", "b", "text_a", "text_b")
     return materialize(joined.mapInArrow(_verify(k, threshold), "a long, b long"), "links")
 
@@ -523,52 +573,59 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     parts = shuffle_partitions(spark)
     keyed = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    sketch = materialize(keyed.select("id", "text").mapInArrow(_sketch_documents(k), "doc_id long, n long, s1 long, s2 long, regs binary"), "sketches")
+    keyed = keyed.select("id", F.xxhash64("text").alias("h"), "text")  # h: which of the texts of an id
+    sketch = materialize(keyed.mapInArrow(_sketch_documents(k), "doc_id long, h long, n long, s1 long, s2 long, regs binary"), "sketches")
     total = sketch.count()
 
     sets = sketch.where("n > 0 and doc_id is not null")
-    classes = materialize(sets.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("regs").alias("regs")), "classes")
+    classes = sets.groupBy("n", "s1", "s2").agg(F.min(F.struct("doc_id", "h")).alias("least"), F.count(F.lit(1)).alias("copies"), F.first("regs").alias("regs"))
+    classes = materialize(classes.select(F.monotonically_increasing_id().alias("rep"), "n", "s1", "s2", F.col("least.doc_id").alias("id"), F.col("least.h").alias("h"), "copies", "regs"), "classes")
+    n_classes = classes.count()
 
     width = ROWS * REGISTER.itemsize
     bands = [F.xxhash64(F.lit(i), F.substring("regs", i * width + 1, width)) for i in range(M // ROWS)]
-    entries = classes.select("rep", F.posexplode(F.array(*bands)).alias("band", "bucket"))
+    entries = classes.select("rep", "n", F.posexplode(F.array(*bands)).alias("band", "bucket"))
     sizes = materialize(entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "buckets")
-    n_entries = classes.count() * (M // ROWS)
+    n_entries = n_classes * (M // ROWS)
     members = lookup_join(entries.withColumn("spread", F.xxhash64("rep", "bucket")), sizes, ["bucket"], "size", n_entries, "spread")
     blocks = f"cast(ceil(size / {BLOCK}) as int)"
-    members = members.select("rep", "band", "bucket", F.expr(f"cast(pmod(xxhash64(rep, bucket, 7), {blocks}) as int)").alias("block"), F.expr(blocks).alias("blocks"))
+    members = members.select("rep", "n", "band", "bucket", F.expr(f"cast(pmod(xxhash64(rep, bucket, 7), {blocks}) as int)").alias("block"))
     members = materialize(members, "members")
 
-    full = members.join(classes.select("rep", "n", "regs"), "rep")
+    full = members.join(classes.select("rep", "regs"), "rep")
     sorted_ = full.select("bucket", "block", "rep", "n", "regs").repartition(parts, "bucket", "block").sortWithinPartitions("bucket", "block")
-    links = _links(sorted_.mapInArrow(_forests(threshold), "a long, b long"), keyed, k, threshold)
+    links = _links(sorted_.mapInArrow(_forests(threshold), "a long, b long"), keyed, classes, total, k, threshold)
     comps = materialize(components(links), "components")
 
     # What is left: buckets with members in different components.
-    labelled = materialize(members.join(comps.withColumnRenamed("id", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep")), "labelled")
-    by_comp = labelled.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("c"))
-    open_ = by_comp.groupBy("bucket").agg(F.count(F.lit(1)).alias("comps"), F.sum("c").alias("size"), F.max(F.struct("c", "comp")).alias("top")).where("comps > 1")
-    open_ = materialize(open_.select("bucket", "size", F.col("top.comp").alias("home"), F.col("top.c").alias("n_home")), "open")
-    left = lookup_join(labelled.drop("block", "blocks").withColumn("spread", F.xxhash64("rep", "bucket")), open_, ["bucket"], "size", n_entries, "spread")
+    labelled = members.join(comps.withColumnRenamed("id", "rep"), "rep", "left")
+    labelled = materialize(labelled.select("rep", "band", "bucket", F.coalesce("comp", "rep").alias("comp"), "n"), "labelled")
+    by_comp = labelled.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("w"))
+    open_ = by_comp.groupBy("bucket").agg(F.count(F.lit(1)).alias("comps"), F.sum("c").alias("size"), F.sum("w").alias("weight"), F.max(F.struct("c", "comp", "w")).alias("top")).where("comps > 1")
+    open_ = materialize(open_.select("bucket", "size", "weight", F.col("top.comp").alias("home"), F.col("top.c").alias("n_home"), F.col("top.w").alias("w_home")), "open")
+    left = lookup_join(labelled.withColumn("spread", F.xxhash64("rep", "bucket")), open_, ["bucket"], "size", n_entries, "spread")
     # Blocks 0 .. strays - 1 hold members outside the largest component, the others the rest.
-    left = left.withColumn("strays", F.expr(f"cast(ceil((size - n_home) / {BLOCK}) as int)")).withColumn("homes", F.expr(f"cast(ceil(n_home / {BLOCK}) as int)"))
-    block = f"case when size <= {BLOCK} then 0 when comp <> home then cast(pmod(xxhash64(rep, bucket, 11), strays) as int) else strays + cast(pmod(xxhash64(rep, bucket, 11), homes) as int) end"
-    others = f"case when size <= {BLOCK} then array(0) when comp <> home then sequence(0, strays + homes - 1) else sequence(0, strays - 1) end"
+    cut = lambda c, w: F.expr(f"cast(greatest(ceil(({c}) / {BLOCK}), ceil(({w}) / {BLOCK_SHINGLES})) as int)")
+    left = left.withColumn("strays", cut("size - n_home", "weight - w_home")).withColumn("homes", cut("n_home", "w_home"))
+    single = f"size <= {BLOCK} and weight <= {BLOCK_SHINGLES}"
+    block = f"case when {single} then 0 when comp <> home then cast(pmod(xxhash64(rep, bucket, 11), strays) as int) else strays + cast(pmod(xxhash64(rep, bucket, 11), homes) as int) end"
+    others = f"case when {single} then array(0) when comp <> home then sequence(0, strays + homes - 1) else sequence(0, strays - 1) end"
     left = left.withColumn("block", F.expr(block)).withColumn("other", F.explode(F.expr(others)))
-    left = left.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.expr("cast(block <= other as int)").alias("side"), "band", "comp", "rep").join(classes.select("rep", "n", "regs"), "rep")
+    left = left.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.expr("cast(block <= other as int)").alias("side"), "band", "comp", "rep", "n").join(classes.select("rep", "regs"), "rep")
     left = left.select("bucket", "i", "j", "side", "band", "comp", "rep", "n", "regs").repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
     wanted = materialize(left.mapInArrow(_wanted(threshold), "bucket long, i int, j int, comp long, rep long"), "wanted")
-    of = _texts(keyed, wanted.select(F.col("rep").alias("id")).distinct()).withColumnRenamed("id", "rep")
+    of = _texts(keyed, classes, wanted.select("rep").distinct(), total)
     full = wanted.join(of, "rep").select("bucket", "i", "j", "comp", "rep", "text").repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
     more = materialize(full.mapInArrow(_crosswise(k, threshold), "a long, b long"), "more-links")
 
-    classes = classes.select("n", "s1", "s2", "rep", "copies").join(comps.withColumnRenamed("id", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-    roots = materialize(components(more).select(F.col("id").alias("comp"), F.col("comp").alias("root")), "roots")
-    few = roots.count() <= BROADCAST_IDS
-    classes = classes.join(F.broadcast(roots) if few else roots.hint("merge"), "comp", "left")
-    classes = classes.select("n", "s1", "s2", "copies", F.coalesce("root", "comp").alias("component_id"))
+    # Components of components; each has the smallest id of its classes.
+    classes = classes.select("rep", "id", "n", "s1", "s2", "copies").join(comps.withColumnRenamed("id", "of").withColumnRenamed("comp", "inner"), F.col("rep") == F.col("of"), "left").withColumn("inner", F.coalesce("inner", "rep"))
+    roots = materialize(components(more).select(F.col("id").alias("of_inner"), F.col("comp").alias("root")), "roots")
+    classes = materialize(classes.join(roots, F.col("inner") == F.col("of_inner"), "left").select("id", "n", "s1", "s2", "copies", F.coalesce("root", "inner").alias("comp")), "rooted")
+    least = materialize(classes.groupBy("comp").agg(F.min("id").alias("component_id"), F.count(F.lit(1)).alias("members")), "least-ids")
+    classes = lookup_join(classes.withColumn("spread", F.xxhash64("id", "s1")), least, ["comp"], "members", n_classes, "spread").select("n", "s1", "s2", "copies", "component_id")
     rows = sketch.select("doc_id", "n", "s1", "s2")
     grouped = rows.where("n > 0 and doc_id is not null").withColumn("spread", F.xxhash64("doc_id"))
-    linked = lookup_join(grouped, classes, ["n", "s1", "s2"], "copies", total, "spread").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    linked = lookup_join(grouped, materialize(classes, "final-classes"), ["n", "s1", "s2"], "copies", total, "spread").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     alone = rows.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return linked.union(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

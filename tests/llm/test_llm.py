@@ -460,9 +460,10 @@ def components(rows, k, threshold):
     return {i: (len(sets[i]), find(i)) for i in ids}
 
 
-@pytest.mark.parametrize("block", [512, 5])
-def test_near_duplicates(spark, monkeypatch, block):
+@pytest.mark.parametrize("block, shingles", [(512, 1 << 21), (5, 1 << 21), (512, 200)])
+def test_near_duplicates(spark, monkeypatch, block, shingles):
     monkeypatch.setattr(near_dedup, "BLOCK", block)
+    monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", shingles)
     rng = random.Random(8)
     words = [f"w{i}" for i in range(400)]
     rows = [(1, None), (2, ""), (3, " \n"), (4, "One two"), (5, "one TWO"), (6, "one two three"), (7, LONG), (8, LONG + " end")]
@@ -501,6 +502,40 @@ def test_components_of_links(spark, monkeypatch, contract):
     assert near_dedup.components(df.where("a > 10000")).count() == 0
 
 
+def test_shingles_are_told_apart_by_words():
+    """Words that polynomial hashes confuse (Thue-Morse), random texts, and the 64-bit hashes of sets."""
+    import numpy as np
+
+    a = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+    b = a.translate(str.maketrans("ab", "ba"))
+    rng = random.Random(1)
+    texts = ["x y z " + a, "x y z " + b, "x y z " + a.upper(), "", " ", "x y", "x  y", "y x"]
+    texts += [" ".join(rng.choice("abcABC é\u00a0") for _ in range(rng.randint(0, 60))) for _ in range(300)]
+    data = [t.encode() for t in texts]
+    raw, off = np.frombuffer(b"".join(data), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in data])])
+    for k in (1, 2, 3, 4, 5, 7):
+        want = []
+        for t in texts:
+            w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if c.isascii() else c for c in t))
+            want.append({tuple(w[j : j + k]) for j in range(len(w) - k + 1)} or ({tuple(w)} if w else set()))
+        sets = near_dedup.exact_sets(raw, off, k)
+        elements, begins, digests = near_dedup.shingle_sets(raw, off, k)
+        assert [len(x) for x in want] == [len(x) for x in sets] == np.diff(begins).tolist()
+        for i in range(0, len(texts), 7):
+            for j in range(len(texts)):
+                assert len(want[i] & want[j]) == len(np.intersect1d(sets[i], sets[j])) == len(np.intersect1d(elements[begins[i] : begins[i + 1]], elements[begins[j] : begins[j + 1]]))
+                assert (want[i] == want[j]) == (digests[i] == digests[j])
+
+
+def test_near_duplicates_of_repeated_ids(spark):
+    """An id with several texts, and a row that holds half of all rows."""
+    words = [f"w{i}" for i in range(100)]
+    one, other = " ".join(words), " ".join(reversed(words))
+    rows = [(5, one), (5, other), (9, other + " x"), (7, one + " y"), (None, one), (8, "a b c d e f")] + [(20, one + " z")] * 2000
+    got = collections.Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(docs_of(spark, [(i, t, "en", "s") for i, t in rows]), k=4).collect())
+    assert got == {(5, 97, 5, True): 2, (9, 98, 5, False): 1, (7, 98, 5, False): 1, (None, 97, None, True): 1, (8, 3, 8, True): 1, (20, 98, 5, False): 2000}
+
+
 def test_near_duplicates_odd(odd, empty):
     got = {(r.doc_id, r.component_id) for r in near_dedup.near_duplicates(odd).collect()}
     assert {(3, 3), (4, 3), (6, 6), (7, 6), (8, 6), (1, 1), (2, 2), (5, 5)} <= got
