@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import json
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from avrolith import plans
@@ -28,8 +30,8 @@ def _check(n_rows, offset, batch_size) -> None:
 
 
 def _count_rows(columns, limit, storage):
-    def count(path: str) -> int:
-        return sum(n for _, n, _ in read_split(Split(path, 0, None), columns, ignore_errors=True, limit=limit, storage=storage))
+    def count(path: str, start: int, stop: int) -> int:
+        return sum(n for _, n, _ in read_split(Split(path, start, stop), columns, ignore_errors=True, limit=limit, storage=storage))
 
     return count
 
@@ -86,17 +88,14 @@ def scan_avro(
         fields = [*fields, T.StructField(include_file_paths, T.StringType())]
     numbered = n_rows is not None or row_index_name is not None
     if _mode == "errors":
-        fields = ERROR_SCHEMA.fields
-        splits = [(p, 0, None, 0, None) for p in paths]
-    elif numbered:
+        fields = [*ERROR_SCHEMA.fields, T.StructField("split", T.LongType())]
+    splits = None
+    if numbered and _mode != "errors":
         splits = plans.counted_splits(spark, found, storage_options, split_bytes, n_rows, row_index_offset, ignore_errors, _count_rows(decoded, max_block_size, storage_options))
-    elif ignore_errors:
-        splits = [(p, 0, None, 0, None) for p in paths]
-    else:
-        splits = plans.byte_splits(found, split_bytes)
-    plan = {"splits": splits, "nanos": nanos, "ignore_errors": ignore_errors or _mode == "errors", "max_block_size": max_block_size, "batch_size": batch_size, "storage": storage_options, "row_index": row_index_name, "path_column": include_file_paths, "mode": _mode, "columns": decoded}
+    chosen = {"files": [(p, start, size) for p, _, start, size in found], "split_bytes": split_bytes} if splits is None else {"splits": splits}
+    plan = chosen | {"nanos": nanos, "ignore_errors": ignore_errors or _mode == "errors", "max_block_size": max_block_size, "batch_size": batch_size, "storage": storage_options, "row_index": row_index_name, "path_column": include_file_paths, "mode": _mode, "columns": decoded}
     schema = T.StructType(fields)
-    if not splits:
+    if splits == []:
         return spark.createDataFrame([], schema)
     spark.dataSource.register(AvroSource)
     hidden = not fields
@@ -106,12 +105,21 @@ def scan_avro(
     df = spark.read.format("avrolith").schema(schema).option("schema", schema.json()).option("plan", json.dumps(plan)).load()
     if hidden:
         return df.select()
+    if _mode == "errors":
+        return _numbered_errors(df)
     if reader_schema is not None:
         target = reader_schema if isinstance(reader_schema, Schema) else parse_schema(reader_schema)
         df = evolve(df, record, target)
     return df
 
 
+def _numbered_errors(df: DataFrame) -> DataFrame:
+    """Error rows with block indexes of the whole file: the blocks of earlier splits are added."""
+    earlier = Window.partitionBy("filepath").orderBy("split").rangeBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum(F.when(F.col("kind").isNull(), F.col("block_index"))).over(earlier), F.lit(0))
+    return df.withColumn("block_index", F.col("block_index") + before).where("kind is not null").drop("split")
+
+
 def read_avro(spark: SparkSession, source, **options) -> DataFrame:
     """scan_avro, checked at once: unreadable headers and columns raise here in either case."""
     return scan_avro(spark, source, **options)
@@ -128,6 +136,38 @@ def read_avro_schema(source, *, storage_options: dict | None = None, nanos: str
     return T.StructType(spark_fields(schema_of(header_of(str(path), storage_options)), None, nanos))
 
 
+def sink_batches(df: DataFrame, callback, *, batch_size: int = 100_000) -> int:
+    """Calls callback(pyarrow.RecordBatch) for all rows of df where they are, on the executors, in batches of
+    up to batch_size rows; returns the number of rows. A task that is repeated calls again."""
+
+    def run(batches):
+        n = 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, batch_size):
+                callback(batch.slice(at, batch_size))
+            n += batch.num_rows
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+    return df.mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def collect_batches(df: DataFrame, *, batch_size: int = 100_000):
+    """An iterator over df's rows as pyarrow.RecordBatch of up to batch_size rows, in the order of its
+    partitions. The driver holds a partition at a time."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, batch_size):
+                out = pa.BufferOutputStream()
+                with pa.ipc.new_stream(out, batch.schema) as stream:
+                    stream.write_batch(batch.slice(at, batch_size))
+                yield pa.RecordBatch.from_arrays([pa.array([out.getvalue().to_pybytes()], pa.binary())], names=["batch"])
+
+    for row in df.mapInArrow(run, "batch binary").toLocalIterator():
+        with pa.ipc.open_stream(bytes(row.batch)) as stream:
+            yield from stream
+
+
 class MultiAvroReader:
     """Iterates over Arrow record batches of files on this machine, in order."""
 
@@ -179,9 +219,9 @@ class MultiAvroReader:
                     have = dict(zip(names, arrays))
                     if self._index:
                         first = self._offset + self.rows_read
-                        have[self._index] = pa.array(range(first, first + n), pa.int64())
+                        have[self._index] = pa.array(np.arange(first, first + n))
                     if self._path:
-                        have[self._path] = pa.array([path] * n, pa.string())
+                        have[self._path] = pa.repeat(pa.scalar(path, pa.string()), n)
                     self.rows_read += n
                     yield pa.RecordBatch.from_arrays([have[f.name] for f in schema], schema=schema)
             except AvroError as e:
@@ -217,4 +257,4 @@ class AvroReader(MultiAvroReader):
         super().__init__([path], glob=False, **options)
 
 
-__all__ = ["AvroReader", "MultiAvroReader", "read_avro", "read_avro_schema", "scan_avro", "scan_avro_errors"]
+__all__ = ["AvroReader", "MultiAvroReader", "collect_batches", "sink_batches", "read_avro", "read_avro_schema", "scan_avro", "scan_avro_errors"]

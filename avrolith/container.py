@@ -12,10 +12,12 @@ from avrolith.errors import AuthenticationError, BadBlock, CodecError, Configura
 MAGIC = b"Obj\x01"
 SYNC = 16
 READ = 1 << 20
+#: Records from which on a block is not believed, where the marker before it is wrong.
+SUSPECT_COUNT = 10_000_000
 
 
 def open_file(path: str, options: dict | None = None):
-    """A seekable binary file; local, or of any store that pyarrow has a file system for."""
+    """A seekable binary file; local, or of any store that pyarrow has a file system for (s3a:// is s3://)."""
     try:
         if "://" not in path and not path.startswith("file:"):
             return open(path, "rb")
@@ -37,9 +39,10 @@ def filesystem(path: str, options: dict | None = None):
     if path.startswith(("s3://", "s3a://")):
         o = options or {}
         retry = fs.AwsStandardS3RetryStrategy(max_attempts=int(o.get("max_retries", 2)) + 1)
-        known = {"access_key": o.get("aws_access_key_id"), "secret_key": o.get("aws_secret_access_key"), "region": o.get("region"), "endpoint_override": o.get("endpoint")}
+        scheme, _, endpoint = (o.get("endpoint") or "").rpartition("://")
+        known = {"access_key": o.get("aws_access_key_id"), "secret_key": o.get("aws_secret_access_key"), "session_token": o.get("aws_session_token"), "region": o.get("region"), "endpoint_override": endpoint, "scheme": scheme}
         return fs.S3FileSystem(retry_strategy=retry, **{k: v for k, v in known.items() if v}), path.split("://", 1)[1]
-    return fs.FileSystem.from_uri(path)
+    return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else os.path.abspath(path))
 
 
 def size_of(file) -> int:
@@ -57,6 +60,9 @@ class Bytes:
         self.seek(at)
 
     def seek(self, at: int) -> None:
+        if hasattr(self, "base") and self.base <= at <= self.base + len(self.data):
+            self.at = at - self.base
+            return
         self.base, self.data, self.at = at, b"", 0
         self.file.seek(at)
 
@@ -124,10 +130,20 @@ def read_header(file, path: str = "") -> Header:
     return Header(metadata["avro.schema"].decode("utf-8"), codec, sync, metadata, source.position, source.size)
 
 
-def block_index(file, header: Header) -> list[tuple[int, int]]:
-    """(offset, records) of every block, by hopping over the payloads."""
-    source, out, at = Bytes(file, header.start), [], header.start
-    while at < header.size:
+def first_block(file, header: Header, start: int) -> int:
+    """Where the first block begins that belongs to a range from start on: behind a sync marker."""
+    if start <= header.start:
+        return header.start
+    found = find_sync(file, header.sync, start - SYNC)
+    return header.size if found is None else found + SYNC
+
+
+def block_index(file, header: Header, start: int = 0, end: int | None = None) -> list[tuple[int, int]]:
+    """(offset, records) of every block that begins in [start, end), by hopping over the payloads."""
+    at, out = first_block(file, header, start), []
+    stop = header.size if end is None else min(end, header.size)
+    source = Bytes(file, at)
+    while at < stop:
         source.seek(at)
         count, size = source.long(), source.long()
         end = source.position + size
@@ -158,14 +174,7 @@ def find_sync(file, sync: bytes, at: int) -> int | None:
 def blocks(file, header: Header, start: int = 0, end: int | None = None, limit: int | None = None) -> Iterator[tuple[int, int, bytes]]:
     """(offset, records, payload) of the blocks that begin in [start, end); damage raises."""
     end = header.size if end is None else end
-    if start <= header.start:
-        at = header.start
-    else:
-        found = find_sync(file, header.sync, start - SYNC)
-        if found is None:
-            return
-        at = found + SYNC
-    source = Bytes(file, at)
+    source = Bytes(file, first_block(file, header, start))
     while source.position < min(end, header.size):
         at = source.position
         count, size = source.long(), source.long()
@@ -177,37 +186,50 @@ def blocks(file, header: Header, start: int = 0, end: int | None = None, limit:
         yield at, count, decompress(header.codec, data, limit)
 
 
-def tolerant_blocks(file, header: Header, path: str, report, limit: int | None = None) -> Iterator[tuple[int, int, int, bytes]]:
+def tolerant_blocks(file, header: Header, path: str, report, limit: int | None = None, start: int = 0, end: int | None = None) -> Iterator[tuple[int, int, int, bytes]]:
     """(index, offset, records, payload) of the blocks that can be read; damage goes to
-    report(BadBlock) and the scan goes on at the next sync marker that fits."""
-    at, index = header.start, 0
-    while at < header.size:
-        source = Bytes(file, at)
+    report(BadBlock) and the scan goes on at the next sync marker that fits.
+
+    Of a range [start, end) these are the blocks that begin in it behind a sound marker, and those
+    that follow without one: no other range finds them. Indexes count from the range's first
+    block; the generator returns how many there were."""
+    end = header.size if end is None else end
+    source = Bytes(file, first_block(file, header, start))
+    index, sound = 0, True  # whether the marker before the block is right
+    while (at := source.position) < header.size and (at < end or not sound):
         try:
             count, size = source.long(), source.long()
-            if not 0 <= count < 10_000_000 or size < 0 or (size == 0 and count > 0) or size > header.size:
+            if count < 0 or size < 0 or size > header.size:
+                raise ParseError(f"impossible block of {count} records and {size} bytes")
+            if not sound and (count >= SUSPECT_COUNT or (size == 0 and count > 0)):
                 raise ParseError(f"implausible block of {count} records and {size} bytes")
             data = source.take(size)
             after = source.position
             mark = source.take(SYNC)
         except ParseError as e:
             report(BadBlock("BlockParseFailed", index, None, at, str(e), path))
+            index, sound = index + 1, True
             found = find_sync(file, header.sync, at)
             if found is None:
-                return
-            at, index = found + SYNC, index + 1
+                return index
+            source = Bytes(file, found + SYNC)
             continue
-        if mark != header.sync:
+        sound = mark == header.sync
+        if not sound:
             report(BadBlock("InvalidSyncMarker", index, None, after, "the sync marker does not match the header's", path))
             inner = find_sync(file, header.sync, at)
             if inner is not None and inner < after:  # the size was wrong: a marker stands inside
-                at, index = inner + SYNC, index + 1
+                source, index, sound = Bytes(file, inner + SYNC), index + 1, True
                 continue
+            # a marker that begins within the place of the wrong one: bytes were lost or added before it
+            near = inner is not None and inner < after + SYNC
+            source, sound = Bytes(file, inner + SYNC if near else after + SYNC), near
         try:
             yield index, at, count, decompress(header.codec, data, limit)
         except CodecError as e:
             report(BadBlock("DecompressionFailed", index, None, at, str(e), path))
-        at, index = after + SYNC, index + 1
+        index += 1
+    return index
 
 
 __all__ = ["ConfigurationError", "DecodeError", "Header", "block_index", "blocks", "find_sync", "open_file", "read_header", "tolerant_blocks"]

@@ -302,4 +302,7 @@ class Decoder:
         return [[] for _ in self.fields]
 
     def arrays(self, outs: list[list]) -> list[pa.Array]:
-        return [pa.array(values, t) for values, t in zip(outs, self.types)]
+        try:
+            return [pa.array(values, t) for values, t in zip(outs, self.types)]
+        except (pa.ArrowInvalid, OverflowError) as e:
+            raise DecodeError(f"a value is out of its type's range: {e}") from e

@@ -5,31 +5,43 @@ The tables are exported to Avro once per folder of input and scanned from there.
 
 from __future__ import annotations
 
-import os
+import json
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from avrolith import testing
-from avrolith.api import read_avro, scan_avro, scan_avro_errors
-from avrolith.schema import parse_schema
+from avrolith.api import AvroReader, MultiAvroReader, collect_batches, read_avro, read_avro_schema, scan_avro, scan_avro_errors, sink_batches
+from avrolith.container import block_index, filesystem, open_file, read_header
+from avrolith.errors import AvroError
+from avrolith.schema import check_compatibility, parse_schema
 
 _exports: dict[tuple, str] = {}
+_own_dirs: dict[str, str] = {}
 
 
 def _folder(spark: SparkSession) -> str:
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    base = named if named and (named.startswith("file:") or "://" not in named) else tempfile.gettempdir()
-    base = base.removeprefix("file://") if base.startswith("file://") else base.removeprefix("file:")
-    return f"{base}/avro-{uuid.uuid4().hex}"
+    """A new folder in the one that driver and executors share (spark.checkpoint.dir), a temporary one
+    where the session names none."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        base = _own_dirs.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="avrolith-")
+        _own_dirs[spark.sparkContext.applicationId] = base
+    return f"{base.rstrip('/')}/avro-{uuid.uuid4().hex}"
+
+
+def _exists(path: str) -> bool:
+    files, inner = filesystem(path)
+    return files.get_file_info(inner).type != pa.fs.FileType.NotFound
 
 
 def export(spark: SparkSession, sf_dir: str, table: str, key: str, *, tag: str = "", make=None, **options) -> str:
     """Folder of a table's Avro files. make: a change of the DataFrame before it is written."""
     name = (spark.sparkContext.applicationId, sf_dir, table, tag, str(sorted((k, str(v)) for k, v in options.items() if k not in ("convert", "schema"))))
-    if name not in _exports or not os.path.isdir(_exports[name]):
+    if name not in _exports or not _exists(_exports[name]):
         df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
         _exports[name] = testing.export_avro(make(df) if make else df, _folder(spark), key, **options)
     return _exports[name]
@@ -98,7 +110,6 @@ _FILTERS = {
     "filter_and_or_not": "(o_orderstatus = 'F' AND o_totalprice > 100000) OR NOT (o_orderpriority <> '1-URGENT')",
     "filter_in": "o_orderpriority IN ('1-URGENT', '2-HIGH')",
     "filter_between": "o_totalprice BETWEEN 50000 AND 100000",
-    "filter_is_null": "o_custkey IS NULL",
     "filter_is_not_null": "o_custkey IS NOT NULL AND o_orderstatus = 'O'",
 }
 for _name, _where in _FILTERS.items():
@@ -191,8 +202,8 @@ def glob_braces(spark, sf_dir):
 
 @query("SELECT o_orderkey FROM orders")
 def glob_recursive(spark, sf_dir):
-    folder = export(spark, sf_dir, "orders", "o_orderkey", files=3)
-    return scan_avro(spark, f"{os.path.dirname(folder)}/**/{os.path.basename(folder)}/*.avro", columns=["o_orderkey"])
+    above, _, folder = export(spark, sf_dir, "orders", "o_orderkey", files=3).rpartition("/")
+    return scan_avro(spark, f"{above}/**/{folder}/*.avro", columns=["o_orderkey"])
 
 
 _TYPES = {
@@ -314,23 +325,32 @@ def nullable_union(spark, sf_dir):
     return scan_avro(spark, export(spark, sf_dir, "orders", "o_orderkey", tag="sparse", make=_sparse) + "/*.avro", columns=["o_orderkey", "o_custkey"])
 
 
-def damaged(spark, sf_dir) -> str:
-    """customer in blocks of 40 rows, with the payload of the third block broken."""
-    folder = export(spark, sf_dir, "customer", "c_custkey", tag="damaged", files=1, codec="deflate", block_rows=40)
-    path = f"{folder}/part-00000.avro"
-    broken = f"{folder}/broken.avro"
-    if not os.path.exists(broken):
-        from avrolith.container import block_index, read_header
-
-        with open(path, "rb") as f:
-            at = block_index(f, read_header(f))[2][0]
+def damaged(spark, sf_dir, kind: str = "payload") -> str:
+    """customer in blocks of 40 rows, with the third block broken: its payload, its sync marker,
+    its size, or (uncompressed) the length of a string in its first record."""
+    codec = "null" if kind == "record" else "deflate"
+    folder = export(spark, sf_dir, "customer", "c_custkey", tag="damaged", files=1, codec=codec, block_rows=40)
+    broken = f"{folder}/broken-{kind}.avro"
+    if not _exists(broken):
+        with open_file(f"{folder}/part-00000.avro") as f:
+            found = block_index(f, read_header(f))
             f.seek(0)
             data = bytearray(f.read())
-        for i in range(at + 12, at + 40):
-            data[i] ^= 0xAA
-        with open(broken + ".tmp", "wb") as f:
-            f.write(data)
-        os.replace(broken + ".tmp", broken)
+        at, after = found[2][0], found[3][0]
+        if kind == "payload":
+            for i in range(at + 12, at + 40):
+                data[i] ^= 0xAA
+        elif kind == "marker":
+            data[after - 16] ^= 0xFF
+        elif kind == "size":  # a block of 40 records and 2 ** 33 bytes
+            data[at : at + 6] = testing.long(40) + testing.long(2**33)[:5]
+        else:
+            head = at + len(testing.long(40)) + len(testing.long(after - at))
+            data[head + 8 : head + 12] = b"\xff" * 4
+        files, inner = filesystem(broken)
+        with files.open_output_stream(inner + ".tmp") as f:
+            f.write(bytes(data))
+        files.move(inner + ".tmp", inner)
     return broken
 
 
@@ -379,3 +399,285 @@ def sink_parquet(spark, sf_dir):
     df = scan_avro(spark, export(spark, sf_dir, "part", "p_partkey", files=1) + "/*.avro", columns=["p_partkey", "p_size"])
     df.where("p_size > 10").withColumn("p_size", F.col("p_size").cast("long")).write.parquet(out)
     return spark.read.parquet(out)
+
+
+# --- what is left of the scan's surface ----------------------------------------------------
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey % 3 = 0")
+def filter_is_null(spark, sf_dir):
+    df = scan_avro(spark, export(spark, sf_dir, "orders", "o_orderkey", tag="sparse", make=_sparse) + "/*.avro", columns=["o_orderkey", "o_custkey", "o_totalprice"])
+    return df.where("o_custkey IS NULL").select("o_orderkey", "o_totalprice")
+
+
+@query("SELECT o_orderkey AS id, o_orderstatus AS status FROM orders WHERE o_orderstatus IN ('F', 'O')")
+def filter_enum(spark, sf_dir):
+    df = scan_avro(spark, export(spark, sf_dir, "orders", "o_orderkey", tag="types", schema=_TYPES, convert=_typed) + "/*.avro", columns=["id", "status"])
+    return df.where("status IN ('F', 'O') AND status <> 'P'")
+
+
+@query(f"{_NUMBERED} SELECT o_orderkey FROM t WHERE rn >= (SELECT count(*) FROM t) - 25")
+def tail_rows(spark, sf_dir):
+    df = _orders(spark, sf_dir, row_index_name="idx", columns=["o_orderkey"])
+    return df.orderBy(F.desc("idx")).limit(25).select("o_orderkey")
+
+
+@query(f"{_NUMBERED} SELECT o_orderkey FROM t WHERE rn < 10")
+def head_rows(spark, sf_dir):
+    return _orders(spark, sf_dir, n_rows=10, columns=["o_orderkey"])
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE false")
+def empty_result(spark, sf_dir):
+    return _orders(spark, sf_dir, n_rows=0, columns=["o_orderkey", "o_totalprice"])
+
+
+@query("SELECT o_orderpriority, o_orderkey FROM orders WHERE o_totalprice > 100000")
+def select_in_any_order(spark, sf_dir):
+    return _orders(spark, sf_dir).where("o_totalprice > 100000").select("o_orderpriority", "o_orderkey")
+
+
+def _listed(spark, rows, schema):
+    return spark.createDataFrame(rows, schema)
+
+
+@query("SELECT * FROM (VALUES (0, 'o_orderkey', 'bigint'), (1, 'o_custkey', 'bigint'), (2, 'o_orderstatus', 'string'), (3, 'o_totalprice', 'double'), (4, 'o_orderdate', 'timestamp_ntz'), (5, 'o_orderpriority', 'string')) AS t(nr, name, type)")
+def file_schema(spark, sf_dir):
+    folder = export(spark, sf_dir, "orders", "o_orderkey", files=3)
+    found = read_avro_schema(f"{folder}/part-00001.avro")
+    assert found == scan_avro(spark, f"{folder}/*.avro").schema
+    return _listed(spark, [(i, f.name, f.dataType.simpleString()) for i, f in enumerate(found.fields)], "nr int, name string, type string")
+
+
+@query("SELECT 'avro.codec' AS key, 'deflate' AS value UNION ALL SELECT 'fields', '5' UNION ALL SELECT 'rows', CAST(count(*) AS VARCHAR) FROM customer")
+def header_metadata(spark, sf_dir):
+    path = export(spark, sf_dir, "customer", "c_custkey", files=1, codec="deflate", block_rows=300) + "/part-00000.avro"
+    with open_file(path) as f:
+        head = read_header(f)
+        rows = sum(n for _, n in block_index(f, head))
+    fields = len(json.loads(head.metadata["avro.schema"])["fields"])
+    return _listed(spark, [("avro.codec", head.metadata["avro.codec"].decode()), ("fields", str(fields)), ("rows", str(rows))], "key string, value string")
+
+
+@query("SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer")
+def large_block(spark, sf_dir):
+    return scan_avro(spark, export(spark, sf_dir, "customer", "c_custkey", files=1, codec="null", block_rows=1 << 30) + "/*.avro", max_block_size=None)
+
+
+def _of_batches(spark, batches, schema):
+    tables = [pa.Table.from_batches([b]) for b in batches]
+    return spark.createDataFrame(pa.concat_tables(tables)) if tables else spark.createDataFrame([], schema)
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def reader_single(spark, sf_dir):
+    with AvroReader(export(spark, sf_dir, "nation", "n_nationkey", files=1) + "/part-00000.avro", batch_size=7) as reader:
+        return _of_batches(spark, reader, reader.spark_schema)
+
+
+@query(f"{_NUMBERED} SELECT rn + 5 AS idx, o_orderkey, o_orderpriority FROM t WHERE rn < 2500")
+def reader_many(spark, sf_dir):
+    folder = export(spark, sf_dir, "orders", "o_orderkey", files=3)
+    with MultiAvroReader(f"{folder}/*.avro", projected_columns=["o_orderkey", "o_orderpriority"], row_index_name="idx", row_index_offset=5, n_rows=2500, batch_size=999) as reader:
+        return _of_batches(spark, reader, reader.spark_schema)
+
+
+@query("SELECT 1000 AS batch_size, true AS within, count(*) AS rows_read, 3 AS total_sources, 0 AS errors, true AS is_finished, 0 AS pending FROM orders")
+def reader_properties(spark, sf_dir):
+    with MultiAvroReader(export(spark, sf_dir, "orders", "o_orderkey", files=3) + "/*.avro", batch_size=1000) as r:
+        most = max(b.num_rows for b in r)
+        row = (r.batch_size, most <= 1000, r.rows_read, r.total_sources, r.error_count, r.is_finished, r.pending_records)
+    return _listed(spark, [row], "batch_size int, within boolean, rows_read long, total_sources int, errors int, is_finished boolean, pending int")
+
+
+@query("SELECT 0 AS stray_rows, true AS small, count(*) AS n FROM orders")
+def batch_sizes(spark, sf_dir):
+    """Batches of a scan as its consumer gets them."""
+    sizes = [b.num_rows for b in collect_batches(_orders(spark, sf_dir, columns=["o_orderkey"]), batch_size=500)]
+    return _listed(spark, [(0, max(sizes) <= 500, sum(sizes))], "stray_rows int, small boolean, n long")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 200000")
+def collect_in_batches(spark, sf_dir):
+    df = _orders(spark, sf_dir, columns=["o_orderkey", "o_totalprice"]).where("o_totalprice > 200000")
+    return _of_batches(spark, collect_batches(df, batch_size=100), df.schema)
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F'")
+def sink_in_batches(spark, sf_dir):
+    """A callback on the executors that writes every batch as a Parquet file."""
+    out = _folder(spark)
+    df = _orders(spark, sf_dir, columns=["o_orderkey", "o_totalprice", "o_orderstatus"]).where("o_orderstatus = 'F'").select("o_orderkey", "o_totalprice")
+
+    def write(batch):
+        import pyarrow.parquet as pq
+
+        files, root = filesystem(out)
+        files.create_dir(root, recursive=True)
+        pq.write_table(pa.Table.from_batches([batch]), f"{root}/{uuid.uuid4().hex}.parquet", filesystem=files)
+
+    n = sink_batches(df, write, batch_size=700)
+    return spark.read.schema(df.schema).parquet(out) if n else df
+
+
+@query("SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1")
+def cached_scan(spark, sf_dir):
+    """A scan that is planned once and read by two branches."""
+    df = _orders(spark, sf_dir, columns=["o_orderkey", "o_orderstatus"])
+    return df.where("o_orderkey % 2 = 0").unionByName(df.where("o_orderkey % 2 <> 0")).groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- damage ---------------------------------------------------------------------------------
+
+_CUSTOMERS = "WITH t AS (SELECT c_custkey, c_name, row_number() OVER (ORDER BY c_custkey) - 1 AS rn FROM customer)"
+
+
+@query(f"{_CUSTOMERS} SELECT c_custkey, c_name FROM t")
+def skip_wrong_marker(spark, sf_dir):
+    return scan_avro(spark, damaged(spark, sf_dir, "marker"), ignore_errors=True, columns=["c_custkey", "c_name"])
+
+
+@query(f"{_CUSTOMERS} SELECT c_custkey, c_name FROM t WHERE NOT (rn >= 80 AND rn < 120)")
+def skip_wrong_size(spark, sf_dir):
+    return scan_avro(spark, damaged(spark, sf_dir, "size"), ignore_errors=True, columns=["c_custkey", "c_name"])
+
+
+@query(f"{_CUSTOMERS} SELECT c_custkey, c_name FROM t WHERE NOT (rn >= 80 AND rn < 120)")
+def skip_wrong_record(spark, sf_dir):
+    return scan_avro(spark, damaged(spark, sf_dir, "record"), ignore_errors=True, columns=["c_custkey", "c_name"])
+
+
+@query("WITH t AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS rn FROM customer), s AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS idx FROM t WHERE NOT (rn >= 80 AND rn < 120)) SELECT idx, c_custkey FROM s WHERE idx < 130")
+def skip_damage_numbered(spark, sf_dir):
+    return scan_avro(spark, damaged(spark, sf_dir), ignore_errors=True, columns=["c_custkey"], row_index_name="idx", n_rows=130, split_bytes=1500)
+
+
+@query(f"{_CUSTOMERS} SELECT c_custkey, c_name FROM t WHERE NOT (rn >= 80 AND rn < 120)")
+def skip_damage_in_splits(spark, sf_dir):
+    return scan_avro(spark, damaged(spark, sf_dir), ignore_errors=True, columns=["c_custkey", "c_name"], split_bytes=700)
+
+
+@query("SELECT * FROM (VALUES ('payload', 'DecompressionFailed', 2), ('marker', 'InvalidSyncMarker', 2), ('size', 'BlockParseFailed', 2), ('record', 'RecordDecodeFailed', 2)) AS t(damage, kind, block_index)")
+def bad_block_kinds(spark, sf_dir):
+    out = None
+    for kind in ("payload", "marker", "size", "record"):
+        one = scan_avro_errors(spark, damaged(spark, sf_dir, kind), split_bytes=900).select(F.lit(kind).alias("damage"), "kind", F.col("block_index").cast("int").alias("block_index"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("SELECT CAST(ceil(count(*) / 40) AS INT) AS blocks, 'DecompressionFailed' AS kind FROM customer")
+def decompression_limit(spark, sf_dir):
+    """All blocks inflate to more than is allowed."""
+    folder = export(spark, sf_dir, "customer", "c_custkey", tag="damaged", files=1, codec="deflate", block_rows=40)
+    found = scan_avro_errors(spark, f"{folder}/part-00000.avro", max_block_size=100)
+    return found.groupBy("kind").agg(F.count(F.lit(1)).cast("int").alias("blocks"))
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS n FROM customer")
+def skip_null_records(spark, sf_dir):
+    """Blocks of records of nulls have no bytes, and are as sound as any."""
+    schema = {"type": "record", "name": "Nulls", "fields": [{"name": "nothing", "type": "null"}]}
+    folder = export(spark, sf_dir, "customer", "c_custkey", tag="nulls", files=1, codec="null", block_rows=50, schema=schema, convert=lambda r: {"nothing": None})
+    return scan_avro(spark, f"{folder}/*.avro", ignore_errors=True).where("nothing IS NULL").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT * FROM (VALUES ('payload', 'CodecError'), ('marker', 'ParseError'), ('size', 'ParseError'), ('record', 'DecodeError'), ('missing', 'SourceNotFoundError'), ('column', 'SchemaError'), ('rows', 'ConfigurationError'), ('magic', 'ParseError')) AS t(damage, error)")
+def strict_errors(spark, sf_dir):
+    """What a strict read raises."""
+    folder = export(spark, sf_dir, "nation", "n_nationkey", files=1)
+    text = f"{folder}/not-avro.txt"
+    if not _exists(text):
+        files, inner = filesystem(text)
+        with files.open_output_stream(inner) as f:
+            f.write(b"not a container file")
+
+    def read(path, **options):
+        with AvroReader(path, **options) as reader:
+            for _ in reader:
+                pass
+
+    tries = {kind: lambda k=kind: read(damaged(spark, sf_dir, k)) for kind in ("payload", "marker", "size", "record")}
+    tries |= {"missing": lambda: read(f"{folder}/no.avro"), "column": lambda: scan_avro(spark, f"{folder}/*.avro", columns=["nope"]), "rows": lambda: scan_avro(spark, f"{folder}/*.avro", n_rows=-1), "magic": lambda: read(text)}
+    rows = []
+    for name, go in tries.items():
+        try:
+            go()
+            rows.append((name, "none"))
+        except AvroError as e:
+            rows.append((name, type(e).__name__))
+    return _listed(spark, rows, "damage string, error string")
+
+
+# --- schemas --------------------------------------------------------------------------------
+
+_INNER = {"type": "record", "name": "Who", "fields": [{"name": "name", "type": "string"}, {"name": "nation", "type": "int"}, {"name": "grade", "type": {"type": "enum", "name": "Grade", "symbols": ["LOW", "MID", "HIGH"]}}]}
+_WRITTEN = {"type": "record", "name": "Customer", "fields": [{"name": "id", "type": "long"}, {"name": "who", "type": ["null", _INNER]}, {"name": "old", "type": {"type": "array", "items": "Who"}}, {"name": "tags", "type": {"type": "map", "values": "float"}}]}
+_WANTED = {
+    "type": "record",
+    "name": "Customer",
+    "fields": [
+        {"name": "id", "type": "double"},
+        {"name": "person", "aliases": ["who"], "type": ["null", {"type": "record", "name": "Who", "fields": [{"name": "grade", "type": {"type": "enum", "name": "Grade", "symbols": ["LOW", "HIGH", "OTHER"], "default": "OTHER"}}, {"name": "country", "aliases": ["nation"], "type": "long"}, {"name": "title", "type": "string", "default": "none"}]}]},
+        {"name": "old", "type": {"type": "array", "items": "Who"}},
+        {"name": "tags", "type": {"type": "map", "values": "double"}},
+    ],
+}
+
+
+def _person(row):
+    who = {"name": row["c_name"], "nation": row["c_nationkey"], "grade": ("LOW", "MID", "HIGH")[row["c_custkey"] % 3]}
+    return {"id": row["c_custkey"], "who": who if row["c_custkey"] % 5 else None, "old": [who], "tags": {"half": 0.5 * (row["c_custkey"] % 8)}}
+
+
+@query(
+    """SELECT CAST(c_custkey AS DOUBLE) AS id, CASE WHEN c_custkey % 5 <> 0 THEN g END AS grade, CASE WHEN c_custkey % 5 <> 0 THEN CAST(c_nationkey AS BIGINT) END AS country,
+       CASE WHEN c_custkey % 5 <> 0 THEN 'none' END AS title, g AS old_grade, CAST(c_nationkey AS BIGINT) AS old_country, 0.5 * (c_custkey % 8)::DOUBLE AS half
+       FROM (SELECT *, CASE c_custkey % 3 WHEN 0 THEN 'LOW' WHEN 1 THEN 'OTHER' ELSE 'HIGH' END AS g FROM customer)"""
+)
+def nested_evolution(spark, sf_dir):
+    """Aliases, promotions, defaults and enum defaults inside records, arrays and maps."""
+    folder = export(spark, sf_dir, "customer", "c_custkey", tag="people", files=2, schema=_WRITTEN, convert=_person)
+    df = scan_avro(spark, folder + "/*.avro", reader_schema=parse_schema(_WANTED))
+    return df.select("id", "person.grade", "person.country", "person.title", F.col("old")[0]["grade"].alias("old_grade"), F.col("old")[0]["country"].alias("old_country"), F.col("tags")["half"].alias("half"))
+
+
+@query(
+    """SELECT * FROM (VALUES ('int to long', ''), ('long to int', 'TypeMismatch'), ('new field', 'MissingDefault'), ('new field with default', ''), ('other name', 'NameMismatch'),
+       ('fewer symbols', 'MissingSymbol'), ('fewer symbols with default', ''), ('other size', 'SizeMismatch'), ('narrower union', 'UnionMismatch'), ('other scale', 'LogicalMismatch'), ('string to bytes', '')) AS t(change, reasons)"""
+)
+def compatibility(spark, sf_dir):
+    enum = lambda symbols, **more: {"type": "enum", "name": "E", "symbols": symbols, **more}
+    record = lambda *fields, name="R": {"type": "record", "name": name, "fields": list(fields)}
+    decimal = lambda scale: {"type": "bytes", "logicalType": "decimal", "precision": 9, "scale": scale}
+    a = {"name": "a", "type": "int"}
+    cases = {  # reader, writer
+        "int to long": ("long", "int"),
+        "long to int": ("int", "long"),
+        "new field": (record(a, {"name": "b", "type": "int"}), record(a)),
+        "new field with default": (record(a, {"name": "b", "type": "int", "default": 1}), record(a)),
+        "other name": (record(a, name="S"), record(a)),
+        "fewer symbols": (enum(["x"]), enum(["x", "y"])),
+        "fewer symbols with default": (enum(["x"], default="x"), enum(["x", "y"])),
+        "other size": ({"type": "fixed", "name": "F", "size": 4}, {"type": "fixed", "name": "F", "size": 5}),
+        "narrower union": (["null", "int"], ["null", "string"]),
+        "other scale": (decimal(2), decimal(3)),
+        "string to bytes": ("bytes", "string"),
+    }
+    rows = [(name, ",".join(sorted({x.reason for x in check_compatibility(parse_schema(r), parse_schema(w))}))) for name, (r, w) in cases.items()]
+    return _listed(spark, rows, "change string, reasons string")
+
+
+@query("SELECT count(*) AS n, 3 AS files FROM orders")
+def object_store(spark, sf_dir):
+    """Files of an object store, found by a pattern; two requests are refused first."""
+    folder = export(spark, sf_dir, "orders", "o_orderkey", files=3)
+    objects = {}
+    for i in range(3):
+        with open_file(f"{folder}/part-{i:05d}.avro") as f:
+            objects[f"bucket/data/part-{i}.avro"] = f.read()
+    with testing.MockStore(objects | {"bucket/data/other.txt": b""}, failures=2, access_key="key") as store:
+        options = {"endpoint": store.endpoint, "aws_access_key_id": "key", "aws_secret_access_key": "secret", "region": "us-east-1", "max_retries": 5}
+        with MultiAvroReader("s3a://bucket/data/part-[0-9].avro", storage_options=options, projected_columns=["o_orderkey"]) as reader:
+            n = sum(b.num_rows for b in reader)
+            return _listed(spark, [(n, reader.total_sources)], "n long, files int")

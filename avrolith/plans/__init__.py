@@ -5,16 +5,19 @@ from __future__ import annotations
 from avrolith.container import block_index, open_file, read_header
 from avrolith.errors import AvroError
 from avrolith.sources import header_of, schema_of, unify
+from avrolith.sources.datasource import byte_splits
 
 SPLIT_BYTES = 128 << 20
 #: Up to so many files are opened by the driver; more by a Spark job.
 DRIVER_FILES = 64
+#: Heads of blocks in up to so many splits and bytes are read by the driver; more by a Spark job.
+DRIVER_SPLITS, DRIVER_BYTES = 16, 64 << 20
 
 
 def split_size(found, cores: int) -> int:
-    """Two splits a core, of 1 MB to SPLIT_BYTES each."""
+    """Two splits a core, of 4 MB to SPLIT_BYTES each."""
     total = sum(size for _, _, _, size in found)
-    return min(SPLIT_BYTES, max(1 << 20, -(-total // (2 * max(1, cores)))))
+    return min(SPLIT_BYTES, max(4 << 20, -(-total // (2 * max(1, cores)))))
 
 
 def headers(spark, paths: list[str], storage: dict | None) -> list[tuple[str, str, int, int]]:
@@ -44,55 +47,38 @@ def unified(found) -> object:
     return unify([(path, schema_of(types.SimpleNamespace(schema_json=text))) for path, text, _, _ in found])
 
 
-def byte_splits(found, split_bytes: int) -> list[tuple]:
-    """Byte ranges; a block belongs to the range in which it begins. No block is read for this."""
-    out = []
-    for path, _, start, size in found:
-        for at in range(0, max(size, 1), split_bytes):
-            out.append((path, at, min(at + split_bytes, size), 0, None))
-    return out
-
-
 def counted_splits(spark, found, storage, split_bytes: int, n_rows: int | None, offset: int, tolerant: bool, count_rows) -> list[tuple]:
-    """Splits at block borders with the number of their first row, cut after n_rows rows."""
-    paths = [f[0] for f in found]
-
-    def one(path):
-        if tolerant:  # damaged blocks yield fewer rows than they announce, so they are read
-            return [(path, 0, None, count_rows(path))]
+    """Splits with the number of their first row, cut after n_rows rows. Of sound files only the
+    heads of blocks are read; damaged blocks yield fewer rows than they announce, so a
+    tolerant read counts by decoding. With n_rows, splits are counted in growing runs until
+    there are enough."""
+
+    def one(path, start, stop):
+        if tolerant:
+            return count_rows(path, start, stop)
         with open_file(path, storage) as file:
-            header = read_header(file, path)
-            out, begin, rows = [], 0, 0
-            for at, n in block_index(file, header):
-                if rows and at - begin >= split_bytes:
-                    out.append((path, begin, at, rows))
-                    begin, rows = at, 0
-                rows += n
-            return [*out, (path, begin, header.size, rows)]
-
-    if spark is None or len(paths) <= DRIVER_FILES and not tolerant:
-        pieces = [x for p in paths for x in one(p)]
-    else:
-
-        def run(batches):
-            import pandas as pd
-
-            for batch in batches:
-                yield pd.DataFrame([x for p in batch.path for x in one(p)], columns=["path", "start", "stop", "rows"])
-
-        table = spark.createDataFrame([(p,) for p in paths], "path string").repartition(min(len(paths), 1000))
-        by: dict[str, list] = {}
-        for r in table.mapInPandas(run, "path string, start long, stop double, rows long").collect():
-            by.setdefault(r.path, []).append((r.path, r.start, None if r.stop is None or r.stop != r.stop else int(r.stop), r.rows))
-        pieces = [x for p in paths for x in sorted(by[p], key=lambda x: x[1])]
-    out, row = [], 0
-    for path, start, stop, rows in pieces:
-        if n_rows is not None and row >= n_rows:
-            break
-        take = rows if n_rows is None else min(rows, n_rows - row)
-        out.append((path, start, stop, offset + row, take))
-        row += take
+            return sum(n for _, n in block_index(file, read_header(file, path), start, stop))
+
+    def run(batches):
+        for batch in batches:
+            yield batch.assign(rows=[one(*x) for x in zip(batch.path, batch.start, batch.stop)])
+
+    splits = [s[:3] for s in byte_splits([(p, start, size) for p, _, start, size in found], split_bytes)]
+    out, row, at, step = [], 0, 0, len(splits) if n_rows is None else DRIVER_SPLITS
+    while at < len(splits) and (n_rows is None or row < n_rows):
+        part = splits[at : at + step]
+        at, step = at + step, step * 4
+        if spark is None or (len(part) <= DRIVER_SPLITS and not tolerant and sum(stop - start for _, start, stop in part) <= DRIVER_BYTES):
+            counts = [one(*s) for s in part]
+        else:
+            table = spark.createDataFrame([(i, *s) for i, s in enumerate(part)], "i long, path string, start long, stop long").repartition(min(len(part), 1000))
+            counts = [r.rows for r in sorted(table.mapInPandas(run, "i long, path string, start long, stop long, rows long").select("i", "rows").collect())]
+        for (path, start, stop), rows in zip(part, counts):
+            take = rows if n_rows is None else min(rows, n_rows - row)
+            if take > 0:
+                out.append((path, start, stop, offset + row, take))
+            row += take
     return out
 
 
-__all__ = ["AvroError", "byte_splits", "counted_splits", "headers", "unified"]
+__all__ = ["AvroError", "counted_splits", "headers", "unified"]

@@ -381,28 +381,47 @@ def _quiet(r: Schema, w: Schema, seen: set) -> list:
 
 
 def evolve(df, writer: Schema, reader: Schema):
-    """df, read with the writer's schema, as the reader's: fields matched by name or alias,
-    promoted, and filled with defaults."""
+    """df, read with the writer's schema, as the reader's: fields matched by name or alias at every
+    depth, promoted, and filled with defaults; symbols that the reader lacks become its default."""
     from pyspark.sql import functions as F
 
     validate_compatibility(reader, writer)
     have = {f.name: f for f in writer.fields}
-    columns = []
-    for f in reader.fields:
-        target = spark_type(f.schema)
-        match = next((have[n] for n in (f.name, *f.aliases) if n in have), None)
-        if match is None:
-            value = _default(f.schema, f.default)
-        else:
-            value = F.col(f"`{match.name}`")
-            plain, was = f.schema.plain(), match.schema.plain()
-            if plain.kind == "enum" and plain.default is not MISSING and any(x not in plain.symbols for x in was.symbols):
-                value = F.when(value.isNull() | value.isin(plain.symbols), value).otherwise(F.lit(plain.default))
-        columns.append(value.cast(target).alias(f.name))
+    columns = [x.alias(f.name) for f, x in zip(reader.fields, _resolved_fields(reader, writer, lambda n: F.col(f"`{n}`")))]
     extra = [c for c in df.columns if c not in have]  # row index and file path
     return df.select(*[c for c in extra if df.columns.index(c) == 0], *columns, *[c for c in extra if df.columns.index(c) > 0])
 
 
+def _resolved_fields(reader: Schema, writer: Schema, column_of) -> list:
+    """Columns of the reader's fields; column_of gives the writer's by name."""
+    have = {f.name: f for f in writer.fields}
+    out = []
+    for f in reader.fields:
+        match = next((have[n] for n in (f.name, *f.aliases) if n in have), None)
+        value = _default(f.schema, f.default) if match is None else _resolved(f.schema, match.schema, column_of(match.name))
+        out.append(value.cast(spark_type(f.schema)))
+    return out
+
+
+def _resolved(reader: Schema, writer: Schema, value):
+    """A column of the writer's type as the reader's."""
+    from pyspark.sql import functions as F
+
+    r, w = reader.plain(), writer.plain()
+    if r.kind == "enum" and w.kind == "enum" and r.default is not MISSING and any(x not in r.symbols for x in w.symbols):
+        return F.when(value.isNull() | value.isin(r.symbols), value).otherwise(F.lit(r.default))
+    if to_json(r) == to_json(w) or w.kind != r.kind:
+        return value  # cast promotes
+    if r.kind == "record":
+        inner = [x.alias(f.name) for f, x in zip(r.fields, _resolved_fields(r, w, value.getField))]
+        return F.when(value.isNotNull(), F.struct(*inner)) if writer.nullable else F.struct(*inner)
+    if r.kind == "array":
+        return F.transform(value, lambda x: _resolved(r.items, w.items, x).cast(spark_type(r.items)))
+    if r.kind == "map":
+        return F.transform_values(value, lambda _, x: _resolved(r.items, w.items, x).cast(spark_type(r.items)))
+    return value
+
+
 def _default(s: Schema, value):
     from pyspark.sql import functions as F
 

@@ -25,8 +25,15 @@ def expand_braces(pattern: str) -> list[str]:
 
 
 def _to_regex(pattern: str) -> re.Pattern:
-    out = re.escape(pattern).replace(r"\*\*/", "(?:.*/)?").replace(r"\*\*", ".*").replace(r"\*", "[^/]*").replace(r"\?", "[^/]")
-    return re.compile(out)
+    def part(text: str) -> str:
+        return re.escape(text).replace(r"\*\*/", "(?:.*/)?").replace(r"\*\*", ".*").replace(r"\*", "[^/]*").replace(r"\?", "[^/]")
+
+    out, at = "", 0
+    for m in re.finditer(r"\[(!?)(\]?[^\]]*)\]", pattern):  # one of some characters
+        inner = m[2].replace("\\", "\\\\").replace("[", "\\[").replace("]", "\\]").replace("^", "\\^")
+        out += part(pattern[at : m.start()]) + (f"[^/{inner}]" if m[1] else f"[{inner}]")
+        at = m.end()
+    return re.compile(out + part(pattern[at:]))
 
 
 def expand_glob(pattern: str, options: dict | None = None) -> list[str]:
@@ -37,10 +44,12 @@ def expand_glob(pattern: str, options: dict | None = None) -> list[str]:
             from pyarrow import fs
 
             scheme, rest = one.split("://", 1)
-            base = rest[: _MAGIC.search(rest).start()] if _MAGIC.search(rest) else rest
-            files, root = filesystem(f"{scheme}://{base.rpartition('/')[0]}", options)
-            match = _to_regex(rest)
-            found |= {f"{scheme}://{i.path}" for i in files.get_file_info(fs.FileSelector(root, recursive=True)) if i.type == fs.FileType.File and match.fullmatch(i.path)}
+            base = (rest[: _MAGIC.search(rest).start()] if _MAGIC.search(rest) else rest).rpartition("/")[0]
+            files, root = filesystem(f"{scheme}://{base}", options)
+            root = root.rstrip("/")  # what the store calls the folder: a URI may hold a host as well
+            match = _to_regex(rest[len(base) :])
+            listed = files.get_file_info(fs.FileSelector(root, recursive=True, allow_not_found=True))
+            found |= {f"{scheme}://{base}{i.path[len(root) :]}" for i in listed if i.type == fs.FileType.File and match.fullmatch(i.path[len(root) :])}
         else:
             local = one.removeprefix("file://")
             found |= {p for p in _glob.glob(local, recursive=True, include_hidden=True) if os.path.isfile(p)}

@@ -2,8 +2,10 @@
 
 import json
 import math
+import random
 import warnings
 
+import pyarrow as pa
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -13,8 +15,10 @@ from avrolith import testing
 from avrolith.codecs import compress, decompress
 from avrolith.container import block_index, read_header
 from avrolith.decode import Decoder
+from avrolith.lockstep import Damage, LockstepDecoder
 from avrolith.schema import as_record, parse_schema, to_json
 from avrolith.sources import expand_braces, paths_of
+from avrolith.sources.datasource import Split, byte_splits, read_split
 
 PEOPLE = {"type": "record", "name": "Person", "fields": [{"name": "id", "type": "long"}, {"name": "name", "type": "string"}]}
 ROWS = [{"id": i, "name": n} for i, n in enumerate("Alice Bob Charlie Diana Eve Frank Grace".split(), 1)]
@@ -312,3 +316,161 @@ def test_round_trip(rows):
         outs = decoder.buffers()
         done, error = decoder.decode(data[:-1], len(rows), outs)
         assert error is not None and [list(x) for x in zip(*outs)] == [list(r) for r in rows[:done]]
+
+
+# --- lockstep decoding ------------------------------------------------------------------------
+
+ALL_TYPES = {
+    "type": "record",
+    "name": "All",
+    "fields": [
+        {"name": "a", "type": "long"}, {"name": "i", "type": "int"}, {"name": "b", "type": "boolean"}, {"name": "f", "type": "float"}, {"name": "d", "type": "double"}, {"name": "s", "type": "string"}, {"name": "y", "type": "bytes"}, {"name": "nl", "type": "null"},
+        {"name": "u", "type": ["null", "long"]}, {"name": "us", "type": ["string", "null"]}, {"name": "e", "type": {"type": "enum", "name": "E", "symbols": ["x", "y", "z"]}}, {"name": "fx", "type": {"type": "fixed", "name": "F", "size": 3}},
+        {"name": "arr", "type": {"type": "array", "items": "string"}},
+        {"name": "ua", "type": ["null", {"type": "array", "items": ["null", {"type": "record", "name": "In", "fields": [{"name": "p", "type": ["null", "int"]}, {"name": "q", "type": {"type": "array", "items": "long"}}]}]}]},
+        {"name": "m", "type": {"type": "map", "values": ["null", "double"]}}, {"name": "rec", "type": {"type": "record", "name": "Rec", "fields": [{"name": "x", "type": "long"}, {"name": "z", "type": ["null", "string"]}]}},
+        {"name": "dec", "type": {"type": "bytes", "logicalType": "decimal", "precision": 20, "scale": 2}}, {"name": "decf", "type": ["null", {"type": "fixed", "name": "DF", "size": 9, "logicalType": "decimal", "precision": 20, "scale": 3}]},
+        {"name": "uu", "type": {"type": "fixed", "name": "U", "size": 16, "logicalType": "uuid"}}, {"name": "du", "type": {"type": "fixed", "name": "Du", "size": 12, "logicalType": "duration"}},
+        {"name": "dt", "type": ["null", {"type": "int", "logicalType": "date"}]}, {"name": "tm", "type": {"type": "int", "logicalType": "time-millis"}}, {"name": "ts", "type": {"type": "long", "logicalType": "timestamp-millis"}}, {"name": "tn", "type": {"type": "long", "logicalType": "local-timestamp-nanos"}},
+        {"name": "bd", "type": {"type": "bytes", "logicalType": "big-decimal"}},
+    ],
+}
+
+
+def any_row(rng):
+    number = lambda: rng.choice([0, 1, -1, 63, 64, -64, -65, 300, -5000, 2**20, 2**31, -(2**45), 2**55, 2**56, 2**62, 2**63 - 1, -(2**63), rng.getrandbits(rng.randint(1, 62))])
+    text = lambda: rng.choice(["", "a", "é🙂", "x" * rng.randint(0, 200)])
+    few = lambda make, most: [make() for _ in range(rng.randint(0, most))]
+    return {
+        "a": number(), "i": max(-(2**31), min(2**31 - 1, number())), "b": rng.random() < 0.5, "f": rng.random(), "d": rng.random(), "s": text(), "y": text().encode(), "nl": None, "u": rng.choice([None, number()]), "us": rng.choice([None, text()]), "e": rng.choice("xyz"), "fx": b"abc",
+        "arr": few(text, 4), "ua": rng.choice([None, few(lambda: rng.choice([None, {"p": rng.choice([None, 5]), "q": few(number, 3)}]), 3)]), "m": {f"k{j}": rng.choice([None, 1.5]) for j in range(rng.randint(0, 3))}, "rec": {"x": number(), "z": rng.choice([None, text()])},
+        "dec": rng.randint(-(10**18), 10**18).to_bytes(rng.choice([8, 9, 16]), "big", signed=True), "decf": rng.choice([None, rng.randint(-(10**19), 10**19).to_bytes(9, "big", signed=True)]), "uu": rng.randbytes(16), "du": b"".join(rng.randrange(1000).to_bytes(4, "little") for _ in range(3)),
+        "dt": rng.choice([None, rng.randint(-10000, 30000)]), "tm": rng.randint(0, 86399999), "ts": rng.randint(-(10**12), 10**13), "tn": rng.randint(-(10**18), 10**18), "bd": testing.long(2) + b"\x01\x00" + testing.long(1),
+    }
+
+
+def one_by_one(record, columns, blocks, counts):
+    decoder = Decoder(record, columns)
+    outs = decoder.buffers()
+    for data, n in zip(blocks, counts):
+        if decoder.decode(data, n, outs) != (n, None):
+            return None
+    return decoder.arrays(outs)
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_lockstep_like_one_by_one(seed):
+    rng = random.Random(seed)
+    record = as_record(parse_schema(ALL_TYPES))
+    counts = [rng.randint(0, 9) for _ in range(rng.randint(1, 40))]
+    blocks = [b"".join(testing.encode(record, any_row(rng), sized=seed % 2 == 0) for _ in range(c)) for c in counts]
+    columns = None if seed % 3 else [f["name"] for f in ALL_TYPES["fields"] if rng.random() < 0.4]
+    counts = [max(0, c - rng.randint(0, 3)) for c in counts] if seed % 5 == 0 else counts
+    got = LockstepDecoder(record, columns).arrays(blocks, counts)
+    for x, y in zip(got, one_by_one(record, columns, blocks, counts), strict=True):
+        x.validate(full=True)
+        assert x.type == y.type and x.equals(y)
+
+
+def test_lockstep_damage():
+    """Bytes changed at random: either damage, or what one by one gives."""
+    rng = random.Random(5)
+    record = as_record(parse_schema(ALL_TYPES))
+    found = 0
+    for trial in range(150):
+        counts = [rng.randint(1, 5) for _ in range(4)]
+        blocks = [bytearray(b"".join(testing.encode(record, any_row(rng), sized=trial % 2 == 0) for _ in range(c))) for c in counts]
+        for _ in range(3):
+            data = rng.choice(blocks)
+            data[rng.randrange(len(data))] = rng.randrange(256)
+        if trial % 4 == 0:
+            del blocks[0][rng.randrange(len(blocks[0])) :]
+        blocks = [bytes(x) for x in blocks]
+        try:
+            got = LockstepDecoder(record, None).arrays(blocks, counts)
+        except (Damage, pa.ArrowInvalid, av.DecodeError, IndexError, ValueError, ArithmeticError):
+            found += 1
+            continue
+        want = one_by_one(record, None, blocks, counts)
+        assert want is not None and all(x.equals(y) or repr(x.to_pylist()) == repr(y.to_pylist()) for x, y in zip(got, want))
+    assert 20 < found < 150
+
+
+@pytest.mark.parametrize("rows", [None, 1, 777, 2900])
+def test_lockstep_scan(spark, tmp_path, rows):
+    path = str(tmp_path / "x.avro")
+    rng = random.Random(1)
+    written = [any_row(rng) | {"i": i} for i in range(3000)]
+    testing.write_avro(path, ALL_TYPES, written, codec="snappy", block_rows=17)
+    df = av.scan_avro(spark, path, columns=["i", "s", "ua"], n_rows=rows, row_index_name="n", batch_size=100)
+    got = df.orderBy("n").collect()
+    assert [(r.n, r.i, r.s, None if r.ua is None else [x and x.asDict() for x in r.ua]) for r in got] == [(i, x["i"], x["s"], x["ua"]) for i, x in enumerate(written[:rows])]
+
+
+def test_encoder():
+    rng = random.Random(2)
+    record = as_record(parse_schema(ALL_TYPES))
+    put = testing.encoder(record)
+    for _ in range(50):
+        row = any_row(rng)
+        assert bytes(put(row, bytearray())) == testing.encode(record, row)
+
+
+# --- damage over splits, stores, batches -------------------------------------------------------
+
+
+@pytest.mark.parametrize("split", [60, 333, 5000])
+def test_tolerant_splits_read_what_one_reads(tmp_path, split):
+    """Damage of any kind: the splits of a file give the rows and errors of the whole file."""
+    rng = random.Random(split)
+    for trial in range(40):
+        path = str(tmp_path / f"{trial}.avro")
+        testing.write_avro(path, PEOPLE, [{"id": i, "name": "n" * rng.randint(0, 30)} for i in range(300)], codec="null" if trial % 2 else "deflate", block_rows=20)
+        with open(path, "rb") as f:
+            start = read_header(f).start
+            data = bytearray(open(path, "rb").read())
+        for _ in range(rng.randint(1, 4)):
+            at = rng.randrange(start, len(data))
+            data[at : at + rng.randint(1, 20)] = rng.randbytes(rng.choice([0, 1, 7]))
+        with open(path, "wb") as f:
+            f.write(data)
+
+        def read(pieces):
+            rows, errors = [], []
+            for _, a, b, *_ in pieces:
+                blocks = []
+                for arrays, _, _ in read_split(Split(path, a, b), ["id"], ignore_errors=True, report=lambda e: errors.append((e.kind, e.file_offset)), ended=blocks.append):
+                    rows += arrays[0].to_pylist()
+            return rows, sorted(errors)
+
+        assert read(byte_splits([(path, start, len(data))], split)) == read([(path, 0, None)])
+
+
+def test_sound_blocks_are_never_suspected(tmp_path):
+    path = str(tmp_path / "x.avro")
+    schema = {"type": "record", "name": "N", "fields": [{"name": "nothing", "type": "null"}]}
+    with open(path, "wb") as f:
+        f.write(testing.header(schema) + testing.block(12_000_000, b"") + testing.block(3, b""))
+    with av.AvroReader(path, ignore_errors=True, batch_size=20_000_000) as reader:
+        assert sum(b.num_rows for b in reader) == 12_000_003 and not reader.errors
+
+
+def test_object_store(tmp_path):
+    path = str(tmp_path / "x.avro")
+    testing.write_avro(path, PEOPLE, ROWS * 40, block_rows=9)
+    data = open(path, "rb").read()
+    with testing.MockStore({"b/d/part-0.avro": data, "b/d/part-1.avro": data, "b/d/e/part-7.avro": data, "b/z.txt": b""}, failures=2, access_key="k") as store:
+        options = {"endpoint": store.endpoint, "aws_access_key_id": "k", "aws_secret_access_key": "x", "region": "us-east-1", "max_retries": 5}
+        assert paths_of("s3://b/d/part-[!1-9].avro", True, options) == ["s3://b/d/part-0.avro"]
+        assert paths_of("s3a://b/**/part-*.avro", True, options) == ["s3a://b/d/e/part-7.avro", "s3a://b/d/part-0.avro", "s3a://b/d/part-1.avro"]
+        with av.MultiAvroReader("s3a://b/d/*.avro", storage_options=options) as reader:
+            assert sum(b.num_rows for b in reader) == 2 * 7 * 40
+        with pytest.raises(av.SourceNotFoundError):
+            av.read_avro_schema("s3://b/none.avro", storage_options=options)
+        with pytest.raises(av.SourceNotFoundError):
+            paths_of("s3://b/q*.avro", True, options)
+        with pytest.raises(av.AuthenticationError):
+            av.read_avro_schema("s3://b/d/part-0.avro", storage_options=options | {"aws_access_key_id": "q"})
+        store.failures = 1 << 30
+        with pytest.raises(av.SourceError):
+            av.read_avro_schema("s3://b/d/part-0.avro", storage_options=options | {"max_retries": 0})
