@@ -100,6 +100,22 @@ def lookup_join(big: DataFrame, table: DataFrame, keys: list[str], count: str, t
     return out.select(*big.columns, *[F.col(f"__found.{v}").alias(v) for v in values])
 
 
+_LOW_BYTES = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, key: np.uint64, odd: np.uint64) -> np.ndarray:
+    """64-bit hashes of spans of bytes, mixed after every eight of them."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))
+    out = mix64(sizes.astype(np.uint64) + key)
+    left = np.arange(len(sizes))
+    while len(left := left[sizes[left] > 0]):
+        chunk = eight[starts[left]] & _LOW_BYTES[np.minimum(sizes[left], 8)]
+        out[left] = mix64(out[left] * odd + chunk)
+        starts, sizes = starts + 8, sizes - 8
+    return out
+
+
 def text_buffers(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets (n + 1) of a string or binary array without nulls."""
     if isinstance(arr, pa.ChunkedArray):

@@ -5,18 +5,14 @@ binds its letters' vectors, each permuted (rotated) by its place, by elementwise
 product. Bundling (adding) n-gram vectors gives a language's prototype, and a
 document is compared with the prototypes by cosine.
 
-Bundling is linear, so the dot product of a document's bundle with a prototype is
-the sum over its n-grams of n-gram vector times prototype. These products are
-computed once per n-gram (a table of CLASSES ** 3 entries per language); a
-document then costs a table look-up per letter and no vector of its own. Its norm
-follows in the same way from n-gram counts, as n-gram vectors are orthogonal
-but for noise.
+A document's bundle is the sum of the vectors of its distinct n-grams, by how often it has
+them. Vectors of the first CACHED n-grams that a worker meets are kept, others are bound when
+they are needed.
 
 Letters are lower-cased; a-z have a class each, other letters share the rest;
 everything else is one blank. Counts of n-grams by language are made over all
-learnable rows, pre-aggregated in each task, so neither a hot source nor a hot
-language gathers rows; the table's size depends on the number of languages
-only.
+learnable rows, pre-aggregated in each task (of HELD_LANGUAGES at a time), so neither a hot source
+nor a hot language gathers rows. What is broadcast is a prototype of DIMENSION numbers a language.
 
 Defined results: null, empty and letterless texts get 'und' with score 0; ties go
 to the language that sorts first; repeated rows each get a row; an empty table
@@ -40,6 +36,9 @@ CLASSES = 64
 DIMENSION = 2048
 SEED = 9
 GRAMS = CLASSES**3
+HELD_LANGUAGES = 32
+#: N-gram vectors that a worker keeps (DIMENSION bytes each).
+CACHED = 1 << 14
 _SLICE = 1 << 20
 
 
@@ -113,17 +112,54 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for i, name in enumerate(names):
                 counts = np.bincount(grams[which == i], minlength=GRAMS)
                 totals[name] = totals[name] + counts if name in totals else counts
+            if len(totals) > HELD_LANGUAGES:
+                yield from _counted(totals)
+                totals = {}
+    yield from _counted(totals)
+
+
+def _counted(totals: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
     for name, counts in totals.items():
         counts[0] = 0
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(counts[at].astype(np.int64))], names=["lang", "gram", "n"])
 
 
+class Bundler:
+    """Bundles of documents, with the n-gram vectors that it has met."""
+
+    def __init__(self, dimension: int):
+        self.letters = _vectors(dimension)
+        self.place = np.full(GRAMS, -1, np.int32)
+        self.kept = np.zeros((0, dimension), np.int8)
+
+    def vectors(self, grams: np.ndarray) -> np.ndarray:
+        new = grams[self.place[grams] < 0]
+        room = CACHED - len(self.kept)
+        if room > 0 and len(new):
+            new = new[:room]
+            self.place[new] = np.arange(len(self.kept), len(self.kept) + len(new))
+            self.kept = np.concatenate([self.kept, gram_vectors(new, self.letters)])
+        at = self.place[grams]
+        out = self.kept[at]
+        if (at < 0).any():
+            out[at < 0] = gram_vectors(grams[at < 0], self.letters)
+        return out
+
+    def bundle(self, grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """The sum of the vectors of distinct n-grams, by their counts."""
+        out = np.zeros(self.letters.shape[1], np.float32)
+        for a in range(0, len(grams), 4096):
+            out += counts[a : a + 4096].astype(np.float32) @ self.vectors(grams[a : a + 4096]).astype(np.float32)
+        return out
+
+
 class Model:
-    """Languages, sorted, and the product of every n-gram's vector with each unit prototype."""
+    """Languages, sorted, and their unit prototypes (rows)."""
 
-    def __init__(self, languages: list[str], table: np.ndarray):
-        self.languages, self.table = languages, table
+    def __init__(self, languages: list[str], prototypes: np.ndarray):
+        self.languages, self.prototypes = languages, prototypes
+        self.bundler = Bundler(prototypes.shape[1])
 
     @staticmethod
     def of(counts: dict[str, tuple[np.ndarray, np.ndarray]], dimension: int = DIMENSION) -> "Model":
@@ -138,31 +174,24 @@ class Model:
         if len(languages) > 1:
             prototypes -= prototypes.mean(axis=0) * 0.5  # what all languages share tells nothing
         norms = np.linalg.norm(prototypes, axis=1, keepdims=True)
-        prototypes = (prototypes / np.where(norms > 0, norms, 1)).astype(np.float32)
-        seen = np.unique(np.concatenate([counts[x][0] for x in languages])) if languages else np.zeros(0, np.int64)
-        table = np.zeros((GRAMS, len(languages)), np.float32)
-        for a in range(0, len(seen), 8192):
-            table[seen[a : a + 8192]] = gram_vectors(seen[a : a + 8192], letters).astype(np.float32) @ prototypes.T
-        return Model(languages, table / np.float32(np.sqrt(dimension)))
+        return Model(languages, (prototypes / np.where(norms > 0, norms, 1)).astype(np.float32))
 
     def predict(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Number of the nearest language, its cosine, and whether the text has letters."""
         grams, begins = gram_numbers(raw, offsets)
         n = len(offsets) - 1
         ends = np.append(begins[1:], len(grams))
-        sums = np.zeros((n, len(self.languages)))
+        cosine = np.zeros((n, len(self.languages)))
         real = np.zeros(n, np.int64)
-        square = np.zeros(n)
         for i in range(n):
-            own = grams[begins[i] : ends[i]]
-            own = own[own > 0]
+            own = np.sort(grams[begins[i] : ends[i]])
+            own = own[np.searchsorted(own, 1) :]
             real[i] = len(own)
             if len(own):
-                sums[i] = self.table[own].sum(axis=0)
-                own = np.sort(own)
-                runs = np.diff(np.concatenate([[0], np.flatnonzero(own[1:] != own[:-1]) + 1, [len(own)]])).astype(float)
-                square[i] = runs @ runs
-        cosine = sums / np.sqrt(np.maximum(square, 1))[:, None]
+                heads = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+                bundle = self.bundler.bundle(own[heads], np.diff(np.append(heads, len(own))))
+                norm = np.sqrt(bundle @ bundle)
+                cosine[i] = self.prototypes @ bundle / norm if norm > 0 else 0
         best = cosine.argmax(axis=1) if len(self.languages) else np.zeros(n, np.int64)
         top = cosine[np.arange(n), best] if len(self.languages) else np.zeros(n)
         return best, np.clip(top, 0, 1), real > 0
@@ -186,7 +215,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", dimen
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: doc_id, lang_pred, score (cosine, 0 to 1)."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.table))
+    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.prototypes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(*shared.value)

@@ -14,23 +14,35 @@ before start their next epoch, so no row is dropped and the weights hold to
 the end. Without weights, a source's target is 3/4 of its natural share
 and 1/4 of an equal share.
 
-Skew: rows are numbered within a source in two steps, over BUCKETS hash buckets and
-within each, so a source with a third of all rows is never one task's. What is
-gathered grows with sources (times BUCKETS), not rows.
+Skew: rows are numbered within a source in two steps, over hash buckets and
+within each, so a source with a third of all rows is never one task's. There are BUCKETS of a
+source, cut further by digits of the MD5 in proportion to all rows (BUCKET_ROWS each), which
+leaves the order as it is. What is gathered grows with sources, and with buckets.
+The schedule of one round is a fold in one row; its work grows as the square of the number of
+sources (some 10,000 sources are its bound; group small ones before).
 
 Defined results: a null source is the source ''; rows are taken in pseudo-random but
-fixed order (MD5 of the id, then the id; rows that repeat an id get neighbouring places,
-either way round); an empty table gives an empty result; all columns of docs are kept
-by mix(), and names of its own begin with '__'.
+fixed order (bits of the MD5 of the id, the MD5, then the id; rows that repeat an id get
+neighbouring places, either way round); an empty table gives an empty result; all columns of docs
+are kept by mix(), but for those that have the names of its own: __slot, __place, __epoch,
+__release and __deadline. A source that has to be repeated more than MANY_EPOCHS times to keep its
+weight gives a warning.
 """
 
 from __future__ import annotations
 
+import math
+import warnings
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from avrolith.llm.common import materialize
+
 PARTS = 1000
 BUCKETS = 256
+BUCKET_ROWS = 50_000
+MANY_EPOCHS = 16
 
 
 def _weights(counts: DataFrame, parts: int, weights: dict[str, int] | None) -> DataFrame:
@@ -87,14 +99,21 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", wei
 
     weights: parts by source; a source without any gets one part.
     """
-    h = F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), 1, 4), 16, 10).cast("int") % BUCKETS
-    rows = docs.withColumn("__s", F.coalesce(F.col(source_col), F.lit(""))).withColumn("__h", h)
-    cells = rows.groupBy("__s", "__h").agg(F.count(F.lit(1)).alias("c"))
-    before = Window.partitionBy("__s").orderBy("__h").rowsBetween(Window.unboundedPreceding, -1)
-    cells_ = cells.withColumn("__before", F.coalesce(F.sum("c").over(before), F.lit(0).cast("long"))).drop("c")
-    counts = cells.groupBy("__s").agg(F.sum("c").alias("n"))
-    sources = _weights(counts, parts, weights)
-    round_ = schedule(sources)
+    # Digits of the MD5 that cut a bucket further: the third and fourth are the bucket itself.
+    digits = max(0, math.ceil(math.log(max(1, docs.count()) / (BUCKETS * BUCKET_ROWS), 16)))
+    rows = docs.select(F.coalesce(F.col(source_col), F.lit("")).alias("__s"), F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("__md5"), F.col(id_col).alias("__id"), F.struct(*docs.columns).alias("__doc"))
+    finer = F.concat(F.substring("__md5", 1, min(digits, 2)), F.substring("__md5", 5, max(digits - 2, 0)))
+    rows = rows.withColumn("__h", F.conv(F.substring("__md5", 1, 4), 16, 10).cast("int") % BUCKETS).withColumn("__f", finer)
+    cells = materialize(rows.groupBy("__s", "__h", "__f").agg(F.count(F.lit(1)).alias("c")), "cells")
+    counts = materialize(cells.groupBy("__s").agg(F.sum("c").alias("n")), "counts")
+    # rows before a cell: those of earlier buckets, then of earlier cells of its own
+    buckets = cells.groupBy("__s", "__h").agg(F.sum("c").alias("b"))
+    earlier = lambda *by: Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    buckets = buckets.withColumn("__b", F.coalesce(F.sum("b").over(earlier("__s", "__h")), F.lit(0).cast("long"))).drop("b")
+    inner = F.coalesce(F.sum("c").over(earlier("__s", "__h", "__f")), F.lit(0).cast("long"))
+    cells_ = materialize(cells.withColumn("__i", inner).join(buckets, ["__s", "__h"]).select("__s", "__h", "__f", (F.col("__b") + F.col("__i")).alias("__before")), "before")
+    sources = materialize(_weights(counts, parts, weights), "sources")
+    round_ = materialize(schedule(sources), "round")
     blocks = F.expr(f"(n + {block_rows - 1}) div {block_rows}")
 
     # The mix ends with the slot at which the last source has had all its blocks.
@@ -103,9 +122,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", wei
     had = round_.withColumn("end", F.lit(last).cast("long")).groupBy("__s", "w", "slots", "end").agg(F.sum(F.when(F.col("offset") < F.col("end") % F.col("slots"), 1).otherwise(0)).alias("part"))
     had = had.select("__s", "slots", F.expr("(end div slots) * w + part").alias("given")).join(sources.withColumn("__blocks", blocks), "__s").select("__s", F.col("w").alias("__w"), F.col("slots").alias("__slots"), F.col("given").alias("__given"), "__blocks")
 
-    number = Window.partitionBy("__s", "__h").orderBy(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), id_col)
+    had = materialize(had, "given")
+    most = had.agg(F.max(F.expr("(__given - 1) div __blocks + 1"))).first()[0]
+    if most is not None and most > MANY_EPOCHS:
+        warnings.warn(f"a source is taken {most} times over to keep its weight", stacklevel=2)
+
+    number = Window.partitionBy("__s", "__h", "__f").orderBy("__md5", "__id")
     placed = rows.withColumn("__n", F.row_number().over(number).cast("long") - 1)
-    placed = placed.join(_small(cells_), ["__s", "__h"]).withColumn("__n", F.col("__n") + F.col("__before"))
+    placed = placed.join(_small(cells_), ["__s", "__h", "__f"]).withColumn("__n", F.col("__n") + F.col("__before"))
     placed = placed.join(_small(had), "__s")
     placed = placed.withColumn("__block", F.expr(f"__n div {block_rows}")).withColumn("__place", F.expr(f"__n % {block_rows}"))
     placed = placed.withColumn("__epoch", F.explode(F.expr("sequence(0L, (__given - 1 - __block) div __blocks)")))
@@ -115,7 +139,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", wei
     placed = placed.join(slot, ["__s", "__j"])
     turn = F.expr("(__k div __w) * __slots")
     placed = placed.withColumn("__slot", turn + F.col("__offset")).withColumn("__release", turn + F.col("__r")).withColumn("__deadline", turn + F.col("__d"))
-    return placed.select(*docs.columns, "__slot", "__place", "__epoch", "__release", "__deadline")
+    own = ["__slot", "__place", "__epoch", "__release", "__deadline"]
+    return placed.select(*[F.col("__doc").getField(c).alias(c) for c in docs.columns if c not in own], *own)
 
 
 #: Tables by source (and bucket, or slot) are broadcast up to so many rows.

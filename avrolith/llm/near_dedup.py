@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from avrolith.llm.common import hot, lookup_join, materialize, mix64, shuffle_partitions, slices, text_buffers
+from avrolith.llm.common import hot, lookup_join, materialize, mix64, shuffle_partitions, slices, span_hashes, text_buffers
 
 SHINGLE = 5
 THRESHOLD = 80  # per cent
@@ -71,7 +71,6 @@ _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
 _KEY = b"near duplicates"
 _LANES = _RNG.integers(1, 2**63, (2, 2), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_LOW_BYTES = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 
 
 def words_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, pa.Array, np.ndarray]:
@@ -112,18 +111,7 @@ def window_names(words: np.ndarray, k: int) -> np.ndarray:
 def _word_digests(distinct: pa.Array) -> np.ndarray:
     """Keyed 128-bit digests of words (2 x words), mixed in two lanes after every eight bytes."""
     data, off = text_buffers(distinct)
-    size = np.diff(off)
-    padded = np.concatenate([data[off[0] : off[-1]], np.zeros(8, np.uint8)])
-    eight = np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))
-    at, out = off[:-1] - off[0], np.stack([mix64(size.astype(np.uint64) + key) for key in _LANES[:, 0]])
-    left = np.arange(len(size))
-    while len(left):
-        chunk = eight[at[left]] & _LOW_BYTES[np.minimum(size[left], 8)]
-        for lane in (0, 1):
-            out[lane, left] = mix64(out[lane, left] * _LANES[lane, 1] + chunk)
-        at, size = at + 8, size - 8
-        left = left[size[left] > 0]
-    return out
+    return np.stack([span_hashes(data[off[0] : off[-1]], off[:-1] - off[0], np.diff(off), *lane) for lane in _LANES])
 
 
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, list[bytes]]:

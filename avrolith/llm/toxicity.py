@@ -13,9 +13,9 @@ word. The words as written and as restored are then scored.
 
 The score is learned from labelled rows: every word and word beginning gets a
 cautious log ratio of how many toxic and other texts have it (counted over all learnable
-rows), a text is summed up by its words' ratios, and a logistic regression on
-these sums, fitted on up to CALIBRATION rows of smallest hash, makes it a
-probability.
+rows), a text is summed up by its words' ratios (how many lie in each of three tiers), and a
+logistic regression on these sums, fitted on up to CALIBRATION rows of smallest hash, makes it a
+probability. Which of CHOICES are the tiers is found by cross-validation over FOLDS parts of these rows.
 
 Words and beginnings are counted by their full 64-bit hash: first those of toxic texts,
 pre-aggregated in each task and summed up by a shuffle; then, of those that
@@ -27,8 +27,8 @@ texts, not with the other rows) and the sums of at most CALIBRATION rows.
 Defined results: null and empty texts get the score of a text without any toxic word;
 repeated rows each get a row; labels join by id, null and repeated labels of an id
 count as toxic if any is; an empty table gives an empty result; without toxic and
-other labelled texts to learn from all scores are 0; only the id, text and label columns
-are read, so other columns can't clash.
+other labelled texts to learn from all scores are 0; rows that repeat an id with different texts
+all count under its label; only the id, text and label columns are read, so other columns can't clash.
 """
 
 from __future__ import annotations
@@ -41,15 +41,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from avrolith.llm.common import materialize, mix64, slices, text_buffers
+from avrolith.llm.common import materialize, slices, span_hashes, text_buffers
 from avrolith.llm.language_id import CLASSES, GRAMS, _letter_classes, gram_numbers
 
 #: Features that a task holds to pre-aggregate counts.
 HELD = 1 << 20
 CALIBRATION = 20_000
 THRESHOLD = 0.7
-#: Labels (of 12 bytes) that may be broadcast.
-BROADCAST_LABELS = 1_000_000
 BEGINNINGS = (4, 5, 6, 7, 8)  # bytes
 _SLICE = 1 << 20
 
@@ -268,20 +266,7 @@ def character_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
 # --- words ------------------------------------------------------------------
 
 _RNG = np.random.default_rng(661)
-_BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_POWER = 0xD1342543DE82EF95 | 1
-_INVERSE = pow(_POWER, -1, 1 << 64)
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _tables(size: int):
-    size = 1 << max(20, (size - 1).bit_length())
-    if size not in _powers:
-        up, down = np.full(size, _POWER, np.uint64), np.full(size, _INVERSE, np.uint64)
-        up[0] = down[0] = 1
-        _powers.clear()
-        _powers[size] = np.cumprod(up), np.cumprod(down)
-    return _powers[size]
+_KEYS = _RNG.integers(1, 2**63, 2, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def word_features(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -302,17 +287,13 @@ def word_features(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.nda
     if len(cuts):
         edges = np.sort(np.concatenate([edges, cuts, cuts]))
     starts, ends = edges[0::2], edges[1::2]
-    up, down = _tables(n)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE[data] * up[:n], out=total[1:])
-    base, back = total[starts], down[starts]
     length = ends - starts
     out = np.empty((len(starts), width), np.uint64)
     holds = np.ones((len(starts), width), bool)
-    out[:, 0] = mix64((total[ends] - base) * back + np.uint64(99))
+    out[:, 0] = span_hashes(data, starts, length, *_KEYS)
     for i, k in enumerate(BEGINNINGS, 1):
         holds[:, i] = length > k
-        out[:, i] = mix64((total[np.minimum(starts + k, ends)] - base) * back + np.uint64(k))
+        out[:, i] = span_hashes(data, starts, np.minimum(length, k), _KEYS[0] + np.uint64(k), _KEYS[1])
     return out, holds, np.searchsorted(off, starts, side="right") - 1
 
 
@@ -584,10 +565,14 @@ def log_ratios(other: np.ndarray, toxic: np.ndarray, n_other: int, n_toxic: int)
     return np.where((bound > 0) & (toxic >= 3), bound, 0).astype(np.float32)
 
 
-#: Log ratios from which a word counts as weakly, clearly and surely toxic.
-TIERS = (1.0, 2.5, 4.0)
-SUMS = len(TIERS) + 3
+#: Log ratios from which a word counts as weakly, clearly and surely toxic: what may be chosen.
+CHOICES = ((1.0, 2.5, 4.0), (0.5, 1.5, 3.0), (0.5, 2.0, 3.5), (1.0, 2.0, 3.0), (1.5, 3.0, 4.5))
+EDGES = tuple(sorted({t for c in CHOICES for t in c}))
+FOLDS = 5
+SUMS = len(CHOICES[0]) + 3
 _X = [f"x{i}" for i in range(SUMS)]
+#: What is counted of a text: words beyond each edge, the sum of the ratios, and words.
+_COUNTS = [f"c{i}" for i in range(len(EDGES) + 2)]
 
 
 class Weights:
@@ -604,15 +589,21 @@ class Weights:
         return np.where(self.features[at] == hashes, self.ratios[at], np.float32(0))
 
 
-def _sums(hashes, holds, text, count, weights):
+def _counted(hashes, holds, text, count, weights) -> list[np.ndarray]:
+    """Of each text: its words whose best ratio is beyond each edge, the sum of the ratios, and its words."""
+    value = np.where(holds, weights.of(hashes), 0).max(axis=1) if len(hashes) else np.zeros(0)
+    some = value > 0
+    beyond = [np.bincount(text[some], weights=(value[some] > e).astype(float), minlength=count) for e in EDGES]
+    return [*beyond, np.bincount(text[some], weights=value[some], minlength=count), np.bincount(text, minlength=count).astype(float)]
+
+
+def _sums(counted: list[np.ndarray], tiers: tuple[float, ...]) -> np.ndarray:
     """Of each text: its words by tier of their best ratio, the sum of the ratios, that
     sum per word, and its words, all as logarithms."""
-    value = np.where(holds, weights.of(hashes), 0).max(axis=1) if len(hashes) else np.zeros(0)
-    words = np.bincount(text, minlength=count)
-    total = np.bincount(text, weights=value, minlength=count)
-    edges = [*TIERS, np.inf]
-    tiers = [np.bincount(text, weights=((value > a) & (value <= b)).astype(float), minlength=count) for a, b in zip(edges, edges[1:])]
-    return np.stack([*map(np.log1p, tiers), np.log1p(total), np.log1p(200 * total / np.maximum(words, 20)), np.log1p(words)], axis=1)
+    total, words = counted[-2:]
+    beyond = [counted[EDGES.index(t)] for t in tiers]
+    inside = [a - b for a, b in zip(beyond, [*beyond[1:], 0.0])]
+    return np.stack([*map(np.log1p, inside), np.log1p(total), np.log1p(200 * total / np.maximum(words, 20)), np.log1p(words)], axis=1)
 
 
 def _fit(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -630,9 +621,21 @@ def _fit(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return w, mean, scale
 
 
-class Scorer:
-    def __init__(self, log: np.ndarray, weights: np.ndarray, fit):
-        self.log, self.weights, self.fit = log, weights, fit
+def choose_tiers(counted: list[np.ndarray], y: np.ndarray) -> tuple[float, ...]:
+    """Of CHOICES the tiers with the least loss of rows left out of the fit, fold by fold; of equals the first."""
+    fold = np.arange(len(y)) % FOLDS
+    losses = []
+    for tiers in CHOICES:
+        x, loss = _sums(counted, tiers), 0.0
+        for k in range(FOLDS):
+            own = fold == k
+            if own.all() or not own.any():
+                continue
+            w, mean, scale = _fit(x[~own], y[~own])
+            z = np.clip((x[own] - mean) / scale @ w[:-1] + w[-1], -30, 30)
+            loss += np.log1p(np.exp(np.where(y[own] > 0, -z, z))).sum()
+        losses.append(loss)
+    return CHOICES[int(np.argmin(losses))]
 
 
 _models: dict[int, CharacterModel] = {}
@@ -649,13 +652,17 @@ def _model_of(shared):
     return get
 
 
-def _sum_rows(model_of, weights):
+def _sum_rows(model_of, weights, tiers: tuple[float, ...] | None = None):
+    """The sums by tiers of each row, or what is counted of it."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_of()
         for batch in batches:
             for a, count, hashes, holds, text in _features(batch.column(0), model):
-                x = _sums(hashes, holds, text, count, weights.value)
-                yield pa.RecordBatch.from_arrays([*[c.slice(a, count) for c in batch.columns[1:]], *[pa.array(x[:, i]) for i in range(SUMS)]], names=[*batch.schema.names[1:], *_X])
+                columns = _counted(hashes, holds, text, count, weights.value)
+                if tiers:
+                    columns = _sums(columns, tiers).T
+                yield pa.RecordBatch.from_arrays([*[c.slice(a, count) for c in batch.columns[1:]], *map(pa.array, columns)], names=[*batch.schema.names[1:], *(_X if tiers else _COUNTS)])
 
     return run
 
@@ -670,10 +677,9 @@ def score(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col
     model_of = _model_of(counts)
 
     marks = labelled.where("toxic is not null").groupBy(F.col(id_col).cast("long").alias("l_id")).agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
-    marks = materialize(marks, "labels")
-    if marks.count() <= BROADCAST_LABELS:  # else a shuffle join
-        marks = F.broadcast(marks)
-    known = rows.join(marks, F.col("doc_id") == F.col("l_id")).select("text", "toxic", "doc_id")
+    # the learnable texts are read three times: kept as one table, by shuffle at any size
+    known = materialize(rows.join(marks.hint("merge"), F.col("doc_id") == F.col("l_id")).select("text", "toxic", "doc_id"), "learnable")
+
     def total(of: DataFrame, run) -> tuple[np.ndarray, np.ndarray, int]:
         """Features, sorted, in how many texts, and how many texts there are."""
         sums = of.select("text").mapInArrow(run, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n"))
@@ -700,15 +706,18 @@ def score(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col
     weights = Weights(feature[ratios > 0], ratios[ratios > 0])
     shared = sc.broadcast(weights)
 
-    share = min(1.0, calibration / (n_other + n_toxic))
-    sample = known.where(F.pmod(F.xxhash64("doc_id", F.lit(77)), F.lit(1_000_000)) < int(share * 1_000_000))
-    got = sample.select("text", "toxic").mapInArrow(_sum_rows(model_of, shared), "toxic int, " + ", ".join(f"{x} double" for x in _X)).toArrow()
-    x, y = np.stack([got.column(f"x{i}").to_numpy() for i in range(SUMS)], axis=1), got.column("toxic").to_numpy().astype(float)
-    order = np.lexsort((y, *x.T))
-    fit = _fit(x[order], y[order])
-    w, mean, scale = fit
+    # somewhat more than the sample by a bound on the hash, then exactly those of smallest hash
+    bound = min(1.0, (1.2 * calibration + 200) / (n_other + n_toxic))
+    near = known.withColumn("h", F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(77)), 1)).where(F.col("h") <= F.lit(min(int(bound * 2**63), 2**63 - 1)))
+    counted = near.select("text", "toxic", "h").mapInArrow(_sum_rows(model_of, shared), "toxic int, h long, " + ", ".join(f"{c} double" for c in _COUNTS))
+    got = counted.orderBy("h", "toxic", *_COUNTS).limit(calibration).toArrow()
+    if not got.num_rows:
+        return nothing
+    y, counted = got.column("toxic").to_numpy().astype(float), [got.column(c).to_numpy() for c in _COUNTS]
+    tiers = choose_tiers(counted, y)
+    w, mean, scale = _fit(_sums(counted, tiers), y)
 
-    summed = rows.mapInArrow(_sum_rows(model_of, shared), "doc_id long, " + ", ".join(f"{x} double" for x in _X))
+    summed = rows.mapInArrow(_sum_rows(model_of, shared, tiers), "doc_id long, " + ", ".join(f"{x} double" for x in _X))
     z = sum((F.lit(float(w[i] / scale[i])) * (F.col(f"x{i}") - float(mean[i])) for i in range(SUMS)), F.lit(float(w[SUMS])))
     scored = summed.select("doc_id", (1 / (1 + F.exp(-z))).alias("score"))
     return scored.select("doc_id", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

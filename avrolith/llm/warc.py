@@ -4,8 +4,9 @@ write_archives() writes one gzip member per record into archive files in a share
 folder, each file first under a name of its own and then renamed, so that a lost
 or repeated task leaves no half-written archive. read_chunks() streams archives
 back as rows (record id, chunk number, bytes) with the running digest; a payload
-of any size needs memory for one chunk only. read_records() keeps the last chunk
-row of each record: its length and full digest.
+of any size needs memory for one chunk only. read_records() sums up the chunk rows of each
+record: the length of their bytes, and the digest that the last one carries. Archives of other
+writers are read too: records of any type, without digests or with other ids.
 
 Of records with equal payloads of at least MIN_REVISIT bytes the one with the
 largest id is the response, the others are revisits of it and carry no payload.
@@ -14,7 +15,7 @@ Skew: equal payloads meet as digests, pre-aggregated; hot ones come back by
 lookup_join. No payload is shuffled by its digest.
 
 Defined results: null html is the empty payload; rows with repeated ids give a
-record each (of equal payloads one row with the largest id is the response); an
+record each (of equal payloads all rows of the largest id are responses); an
 empty table gives an empty result; only the id, url and html columns are read.
 """
 
@@ -47,6 +48,8 @@ def filesystem(uri: str):
     """The pyarrow file system and path of a folder's URI (file, s3, gs, hdfs, ...)."""
     from pyarrow import fs
 
+    if uri.startswith(("s3a://", "s3n://")):  # Hadoop's names of S3
+        uri = "s3://" + uri.split("://", 1)[1]
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else os.path.abspath(uri))
 
 
@@ -166,7 +169,10 @@ def stream_records(file, keep_bytes: bool = True, chunk: int = CHUNK):
         for line in lines[1:]:
             name, _, value = line.partition(b":")
             fields[name.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
-        left = int(fields["content-length"])
+        length = fields.get("content-length", "")
+        if not length.isdecimal():
+            raise ValueError("a WARC record without a length")
+        left = int(length)
         digest, number, done = hashlib.sha1(), 0, 0
         pending: list[bytes] = []
         held = 0
@@ -186,15 +192,15 @@ def stream_records(file, keep_bytes: bool = True, chunk: int = CHUNK):
         source.until(b"\r\n\r\n")
 
 
-_CHUNKS = "record_id string, record_type string, refers_to string, payload_digest string, payload_length long, chunk int, is_last boolean, length_so_far long, digest_so_far string, bytes binary"
+_CHUNKS = "archive string, record long, record_id string, record_type string, refers_to string, payload_digest string, payload_length long, chunk int, is_last boolean, length_so_far long, digest_so_far string, bytes binary"
 
 
 def read_chunks(archives: DataFrame, folder: str, keep_bytes: bool = True, chunk: int = CHUNK) -> DataFrame:
-    """The chunk rows of the archives (column archive: file names in folder)."""
-    schema = pa.schema([("record_id", pa.string()), ("record_type", pa.string()), ("refers_to", pa.string()), ("payload_digest", pa.string()), ("payload_length", pa.int64()), ("chunk", pa.int32()), ("is_last", pa.bool_()), ("length_so_far", pa.int64()), ("digest_so_far", pa.string()), ("bytes", pa.binary())])
+    """The chunk rows of the archives (column archive: file names in folder). record counts the records of an archive."""
+    schema = pa.schema([("archive", pa.string()), ("record", pa.int64()), ("record_id", pa.string()), ("record_type", pa.string()), ("refers_to", pa.string()), ("payload_digest", pa.string()), ("payload_length", pa.int64()), ("chunk", pa.int32()), ("is_last", pa.bool_()), ("length_so_far", pa.int64()), ("digest_so_far", pa.string()), ("bytes", pa.binary())])
 
     def bare(value: str | None) -> str | None:
-        return None if value is None else value.removeprefix("<urn:page:").removesuffix(">")
+        return value[10:-1] if value is not None and value.startswith("<urn:page:") else value
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, root = filesystem(folder)
@@ -207,9 +213,12 @@ def read_chunks(archives: DataFrame, folder: str, keep_bytes: bool = True, chunk
 
         for batch in batches:
             for name in batch.column(0).to_pylist():
+                record = -1
                 with files.open_input_stream(f"{root}/{name}") as file:
                     for fields, number, data, last, done, digest in stream_records(file, keep_bytes, chunk):
-                        rows.append((bare(fields["warc-record-id"]), fields["warc-type"], bare(fields.get("warc-refers-to")), fields["warc-payload-digest"].removeprefix("sha1:"), int(fields.get("x-payload-length", fields["content-length"])), number, last, done, digest.hexdigest(), data if keep_bytes else None))
+                        record += number == 0
+                        known = fields.get("warc-payload-digest")
+                        rows.append((name, record, bare(fields.get("warc-record-id")), fields.get("warc-type"), bare(fields.get("warc-refers-to")), known and known.removeprefix("sha1:"), int(fields.get("x-payload-length", fields["content-length"])), number, last, done, digest.hexdigest(), data if keep_bytes else None))
                         held += len(data)
                         if held > 4 << 20 or len(rows) >= 10000:
                             yield flush()
@@ -220,8 +229,13 @@ def read_chunks(archives: DataFrame, folder: str, keep_bytes: bool = True, chunk
 
 
 def read_records(archives: DataFrame, folder: str, chunk: int = CHUNK) -> DataFrame:
-    """One row per record: its last chunk row, with the digest of the whole payload."""
-    return read_chunks(archives, folder, keep_bytes=False, chunk=chunk).where("is_last").drop("bytes", "is_last", "chunk")
+    """One row per record, from its chunk rows: the length of all their bytes, and the digest of the
+    whole payload, which the last one carries. Chunks meet in the task that read them."""
+    head = ["record_id", "record_type", "refers_to", "payload_digest", "payload_length"]
+    chunks = read_chunks(archives, folder, chunk=chunk).withColumn("size", F.octet_length("bytes").cast("long")).drop("bytes")
+    last = F.max_by(F.struct(*head, "digest_so_far"), "chunk").alias("last")
+    sums = chunks.groupBy("archive", "record").agg(F.sum("size").alias("length_so_far"), F.count(F.lit(1)).alias("chunks"), last)
+    return sums.select("archive", "record", *[f"last.{c}" for c in head], "length_so_far", "last.digest_so_far", "chunks")
 
 
 def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_revisit: int = MIN_REVISIT) -> DataFrame:

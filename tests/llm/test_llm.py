@@ -84,15 +84,31 @@ def test_mix(spark, weights, block_rows):
     assert sorted(slots) == list(range(len(order))) and all(len(s) == 1 for s in order)
     seen = collections.Counter()
     n = {"a": 300, "b": 70, "": 30}
-    share = {s: w / 1000 for s, w in weights.items()} if weights else {s: 0.75 * n[s] / 400 + 0.25 / 3 for s in n}
+    parts = {r["__s"]: r.w for r in mixing._weights(spark.createDataFrame(list(n.items()), "__s string, n long"), 1000, weights).collect()}
+    slots = sum(parts.values())
+    assert weights is None or parts == weights
+    assert all(abs(parts[s] / slots - 0.75 * n[s] / 400 - 0.25 / 3) < 0.002 for s in n) or weights
     for t, (s,) in enumerate(order, 1):
         seen[s] += 1
-        for x in share:
-            assert abs(seen[x] - share[x] * t) < 1 + 0.002 * t  # weights are rounded to parts
+        assert all(abs(seen[x] * slots - parts[x] * t) < slots for x in parts)  # less than one block, exactly
     again = collections.Counter((r.doc_id, r["__epoch"]) for r in out)
     assert max(again.values()) == 1
 
 
+@pytest.mark.parametrize("size", [3, 0.01, 0.0001])
+def test_mix_buckets(spark, monkeypatch, size):
+    """The order doesn't depend on how finely buckets are cut; a column of the mix's own name goes."""
+    rows = [(i, "t", "en", s) for i, s in enumerate(["a"] * 300 + ["b"] * 70)]
+    docs = docs_of(spark, rows).withColumnRenamed("name", "__slot").withColumnRenamed("g", "__f")
+    want = [(r.doc_id, r["__slot"]) for r in mixing.mix(docs).orderBy("__slot").collect()]
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", size)
+    out = mixing.mix(docs)
+    assert out.columns == [c for c in docs.columns if c != "__slot"] + ["__slot", "__place", "__epoch", "__release", "__deadline"]
+    assert [(r.doc_id, r["__slot"]) for r in out.orderBy("__slot").collect()] == want
+    with pytest.warns(UserWarning, match="times over"):
+        assert mixing.mix(docs, weights={"a": 1, "b": 999}).count() > 300 * 900
+
+
 def test_mix_odd(odd, empty):
     assert mixing.mix(odd).select("doc_id").distinct().count() == len({i for i, *_ in ODD})
     assert mixing.mix(empty).count() == 0
@@ -177,6 +193,75 @@ def test_quality_outliers(spark):
     assert got[2000].base_failed and got[2001].base_failed and not got[2001].kept
 
 
+def exact_mcd(x, rng, starts=60):
+    """The least determinant over many random starts, with the operator's floors and factors."""
+    import numpy as np
+
+    h, floors = int(np.ceil(quality.SHARE * len(x))), np.diag(np.array(quality.FLOORS) ** 2)
+    best = None
+    for _ in range(starts):
+        own = x[rng.choice(len(x), min(len(x), 6), replace=False)]
+        last = None
+        while True:
+            mean, cov = own.mean(axis=0), np.cov(own.T, bias=True).reshape(5, 5) * quality.CONSISTENCY + floors
+            det = np.linalg.slogdet(cov)[1]
+            if len(own) == h:
+                if last is not None and det > last - 1e-9:
+                    break
+                last = det
+            d = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+            own = x[np.argsort(d, kind="stable")[:h]]
+        if best is None or last < best[0]:
+            best = last, mean, cov
+    return best
+
+
+def test_quality_estimates(spark):
+    """Determinants against the best of many random starts, and shrinking against its formula."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    parts = {}
+    for g, n, odd in (("a", 400, 0.2), ("b", 150, 0.0), ("c", 300, 0.24), ("d", 9, 0.3), ("e", 1, 0.0)):
+        turn = rng.normal(size=(5, 5)) * 0.5 + np.eye(5)
+        x = rng.normal(size=(n, 5)) @ turn + rng.normal(size=5)
+        x[: int(odd * n)] += 25 * np.array([1, -1, 1, 1, -1])
+        parts[g] = x
+    rows = [(g, i, *map(float, r)) for g, x in parts.items() for i, r in enumerate(x)]
+    names = ", ".join(f"x{i} double" for i in range(5))
+    df = spark.createDataFrame(rows, f"g string, i long, {names}").selectExpr("g", "xxhash64(g, i) as spread", *[f"x{i}" for i in range(5)])
+    groups = spark.createDataFrame([(g, len(x)) for g, x in parts.items()], "g string, n long")
+    found = quality.mcd(df, groups, len(rows))
+    got = {r.g: r for r in found.collect()}
+    assert set(got) == set(parts)
+    for g in "abcd":
+        want = exact_mcd(parts[g], rng)
+        assert got[g].logdet <= want[0] + 0.05, (g, got[g].logdet, want[0])
+        if g in "ac":
+            cov = np.array([[got[g][f"v{max(i, j)}{min(i, j)}"] for j in range(5)] for i in range(5)])
+            mean = np.array([got[g][f"m{i}"] for i in range(5)])
+            d = np.einsum("ij,jk,ik->i", parts[g] - mean, np.linalg.inv(cov), parts[g] - mean)
+            k = int((0.2 if g == "a" else 0.24) * len(parts[g]))
+            assert d[:k].min() > 100 and (d[k:] < quality.CUTOFF).mean() > 0.99
+    langs = {"a": "x", "b": "x", "c": "y", "d": None, "e": "x"}
+    shrunk = {r.g: r for r in quality.shrink(found.join(spark.createDataFrame(list(langs.items()), "g string, lang string"), "g"), 50).collect()}
+    n = {g: len(x) for g, x in parts.items()}
+    mean = {g: np.array([got[g][f"m{i}"] for i in range(5)]) for g in parts}
+    cov = {g: np.array([[got[g][f"v{max(i, j)}{min(i, j)}"] for j in range(5)] for i in range(5)]) for g in parts}
+
+    def pool(gs):
+        total = sum(n[g] for g in gs)
+        m = sum(n[g] * mean[g] for g in gs) / total
+        return total, m, sum(n[g] * (cov[g] + np.outer(mean[g] - m, mean[g] - m)) for g in gs) / total
+
+    _, m_all, v_all = pool(list(parts))
+    for g, lang in langs.items():
+        total, m, v = pool([x for x in parts if langs[x] == lang])
+        m, v = (total * m + 50 * m_all) / (total + 50), (total * v + 50 * v_all) / (total + 50)
+        m, v = (n[g] * mean[g] + 50 * m) / (n[g] + 50), (n[g] * cov[g] + 50 * v) / (n[g] + 50)
+        assert np.allclose([shrunk[g][f"m{i}"] for i in range(5)], m) and abs(shrunk[g].logdet - np.linalg.slogdet(v)[1]) < 1e-6
+
+
 def test_quality_odd(odd, empty):
     got = quality.judge(odd).collect()
     assert len(got) == len(ODD) and {r.doc_id for r in got if r.kept} == {6, 7, 8}
@@ -222,6 +307,16 @@ def test_warc_broken():
     assert [x[2] for x in warc.stream_records(io.BytesIO(whole + whole))] == [b"0123456789"] * 2
 
 
+def test_warc_of_others(spark, tmp_path):
+    """Records without digests or ids, of other types, not compressed."""
+    body = b"WARC/1.0\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:1>\r\nContent-Length: 5\r\n\r\nhello\r\n\r\nWARC/1.0\r\nContent-Length: 0\r\n\r\n\r\n\r\n"
+    (tmp_path / "a.warc").write_bytes(body)
+    got = warc.read_records(spark.createDataFrame([("a.warc", 2)], "archive string, records long"), f"file://{tmp_path}").orderBy("record").collect()
+    assert [(r.record, r.record_type, r.record_id, r.payload_digest, r.length_so_far, r.digest_so_far) for r in got] == [(0, "warcinfo", "<urn:uuid:1>", None, 5, hashlib.sha1(b"hello").hexdigest()), (1, None, None, None, 0, hashlib.sha1(b"").hexdigest())]
+    with pytest.raises(ValueError):
+        list(warc.stream_records(io.BytesIO(b"WARC/1.0\r\nWARC-Type: x\r\n\r\n")))
+
+
 # --- 6 ------------------------------------------------------------------------
 
 
