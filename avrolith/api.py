@@ -56,6 +56,7 @@ def scan_avro(
     nanos: str = "micros",
     reader_schema=None,
     split_bytes: int | None = None,
+    pushdown: bool = False,
     _mode: str = "rows",
 ) -> DataFrame:
     """A DataFrame over Avro container files.
@@ -66,6 +67,8 @@ def scan_avro(
     column with each row's file. ignore_errors: skip damage (see scan_avro_errors).
     nanos: 'long' keeps nanosecond timestamps as numbers. split_bytes: size of a
     partition's part of a file (default: by the input and the cores, 1 to 128 MB). reader_schema: evolve to it.
+    pushdown: apply filters above the scan where records are decoded as well, so that fewer rows leave the
+    worker; this turns on spark.sql.python.filterPushdown.enabled in the session.
     buffer_blocks, buffer_bytes and read_chunk_size are accepted and have no effect.
     """
     _check(n_rows, row_index_offset, batch_size)
@@ -93,10 +96,12 @@ def scan_avro(
     if numbered and _mode != "errors":
         splits = plans.counted_splits(spark, found, storage_options, split_bytes, n_rows, row_index_offset, ignore_errors, _count_rows(decoded, max_block_size, storage_options))
     chosen = {"files": [(p, start, size) for p, _, start, size in found], "split_bytes": split_bytes} if splits is None else {"splits": splits}
-    plan = chosen | {"nanos": nanos, "ignore_errors": ignore_errors or _mode == "errors", "max_block_size": max_block_size, "batch_size": batch_size, "storage": storage_options, "row_index": row_index_name, "path_column": include_file_paths, "mode": _mode, "columns": decoded}
+    plan = chosen | {"nanos": nanos, "ignore_errors": ignore_errors or _mode == "errors", "max_block_size": max_block_size, "batch_size": batch_size, "storage": storage_options, "row_index": row_index_name, "path_column": include_file_paths, "mode": _mode, "columns": decoded, "pushdown": pushdown}
     schema = T.StructType(fields)
     if splits == []:
         return spark.createDataFrame([], schema)
+    if pushdown:
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(AvroSource)
     hidden = not fields
     if hidden:  # rows without columns are counted by a row number

@@ -681,3 +681,22 @@ def object_store(spark, sf_dir):
         with MultiAvroReader("s3a://bucket/data/part-[0-9].avro", storage_options=options, projected_columns=["o_orderkey"]) as reader:
             n = sum(b.num_rows for b in reader)
             return _listed(spark, [(n, reader.total_sources)], "n long, files int")
+
+
+_PUSHED = {
+    "pushed_equal": "o_orderpriority = '1-URGENT'",
+    "pushed_range": "o_orderkey > 500 AND o_orderkey <= 1500 AND o_totalprice > 50000",
+    "pushed_in": "o_orderstatus IN ('F', 'P') AND NOT o_orderpriority IN ('2-HIGH', '5-LOW')",
+    "pushed_strings": "starts_with(o_orderpriority, '1') OR contains(o_orderpriority, 'LOW')",
+    "pushed_null": "o_custkey IS NOT NULL AND o_orderpriority <> '3-MEDIUM'",
+}
+for _name, _where in _PUSHED.items():
+    QUERIES[_name] = lambda spark, sf_dir, w=_where: _orders(spark, sf_dir, pushdown=True, columns=_ORDER.split(", ")).where(w.replace("starts_with(", "startswith(")).select(*_ORDER.split(", "))
+    ORACLES[_name] = f"SELECT {_ORDER} FROM orders WHERE {_where}"
+
+
+@query(f"{_NUMBERED} SELECT rn AS idx, o_orderkey FROM t WHERE rn < 1000 AND o_orderkey % 2 = 0 AND o_orderstatus = 'O'")
+def pushed_after_limit(spark, sf_dir):
+    """Rows are numbered and limited before any filter."""
+    df = _orders(spark, sf_dir, pushdown=True, columns=["o_orderkey", "o_orderstatus"], row_index_name="idx", n_rows=1000)
+    return df.where("o_orderstatus = 'O' AND o_orderkey % 2 = 0").select("idx", "o_orderkey")

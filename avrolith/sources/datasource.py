@@ -8,8 +8,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, IsNull, LessThan, LessThanOrEqual, Not, StringContains, StringEndsWith, StringStartsWith
 
 from avrolith.container import blocks, open_file, read_header, tolerant_blocks
 from avrolith.decode import Decoder
@@ -130,7 +131,8 @@ class AvroSource(DataSource):
         return T._parse_datatype_json_string(self.options["schema"])
 
     def reader(self, schema):
-        return _Reader(schema, dict(self.options))
+        options = dict(self.options)
+        return (_FilteringReader if json.loads(options["plan"]).get("pushdown") else _Reader)(schema, options)
 
 
 def byte_splits(files, split_bytes: int) -> list[tuple]:
@@ -149,6 +151,7 @@ class _Reader(DataSourceReader):
         self.names = [f.name for f in schema.fields]
         self.schema = schema
         self.plan = json.loads(options["plan"])
+        self.kept: list[_Kept] = []
 
     def partitions(self):
         if "files" in self.plan:
@@ -174,7 +177,10 @@ class _Reader(DataSourceReader):
                     row += n
                 if path is not None:
                     have[path] = pa.repeat(pa.scalar(split.path, pa.string()), n)
-                yield pa.RecordBatch.from_arrays([have[c] for c in self.names], schema=out)
+                batch = pa.RecordBatch.from_arrays([have[c] for c in self.names], schema=out)
+                for kept in self.kept:
+                    batch = batch.filter(kept(batch))
+                yield batch
         except AvroError as e:
             if not plan["ignore_errors"]:
                 raise
@@ -184,6 +190,57 @@ class _Reader(DataSourceReader):
             yield pa.RecordBatch.from_pylist(rows, schema=out)
 
 
+class _FilteringReader(_Reader):
+    def pushFilters(self, filters):
+        """Rows that a filter surely drops stay in the worker that decodes them (after they were
+        numbered and limited). Spark applies all filters again."""
+        types = {f.name: f.dataType for f in self.schema.fields}
+        for f in filters:
+            plain = f.child if isinstance(f, Not) else f
+            name = plain.attribute[0] if len(plain.attribute) == 1 else None
+            if isinstance(types.get(name), _FILTERED) and type(plain) in _TESTS:
+                self.kept.append(_Kept(f))
+            yield f
+
+
+#: Types whose comparisons are the same in Arrow and Spark.
+_FILTERED = (T.BooleanType, T.IntegerType, T.LongType, T.StringType, T.BinaryType, T.DateType)
+_TESTS = {
+    EqualTo: lambda x, f: pc.equal(x, _value(f.value, x)),
+    GreaterThan: lambda x, f: pc.greater(x, _value(f.value, x)),
+    GreaterThanOrEqual: lambda x, f: pc.greater_equal(x, _value(f.value, x)),
+    LessThan: lambda x, f: pc.less(x, _value(f.value, x)),
+    LessThanOrEqual: lambda x, f: pc.less_equal(x, _value(f.value, x)),
+    In: lambda x, f: pc.is_in(x, pa.array([v for v in f.value if v is not None], x.type)),
+    IsNull: lambda x, f: pc.is_null(x),
+    IsNotNull: lambda x, f: pc.is_valid(x),
+    StringStartsWith: lambda x, f: pc.starts_with(x, f.value),
+    StringEndsWith: lambda x, f: pc.ends_with(x, f.value),
+    StringContains: lambda x, f: pc.match_substring(x, f.value),
+}
+
+
+def _value(value, column):
+    return pa.scalar(value, column.type)
+
+
+class _Kept:
+    """A filter as a test of batches; null counts as false, below a negation too."""
+
+    def __init__(self, f):
+        self.negated = isinstance(f, Not)
+        self.filter = f.child if self.negated else f
+
+    def __call__(self, batch: pa.RecordBatch) -> pa.Array:
+        column = batch.column(batch.schema.get_field_index(self.filter.attribute[0]))
+        found = _TESTS[type(self.filter)](column, self.filter)
+        if self.negated:
+            found = pc.invert(found)
+            if isinstance(self.filter, In):
+                found = pc.and_(found, pc.is_valid(column))
+        return pc.fill_null(found, False)
+
+
 def _arrow(t):
     from avrolith.schema import arrow_type
 
