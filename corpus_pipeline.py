@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from avrolith.llm import bpe, exact_dedup, mixing, near_dedup, quality
-from avrolith.llm.common import materialize, read_table
+from avrolith.llm.common import discard, materialize, read_table
 
 
 def _digest() -> Column:
@@ -27,7 +27,8 @@ def _keep(docs: DataFrame, kept: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules or the outlier test reject go."""
+    """Documents that the base rules or the outlier test reject go; null and empty texts with them. Each
+    row is judged by itself, also without an id or with one that others have."""
     row = F.to_json(F.struct("doc_id", "lang", "source"), {"ignoreNullFields": "false"})
     keyed = docs.withColumn("__key", F.sha2(F.concat(_digest(), row), 256))
     kept = quality.judge(keyed, id_col="__key").where("kept").select(F.col("doc_id").alias("__key"))
@@ -35,7 +36,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the one with the largest id stays; one without an id if none has any."""
+    """Of equal texts the one with the largest id stays; one without an id if none has any. A null
+    text equals an empty one."""
     keyed = docs.withColumn("__digest", _digest())
     kept = exact_dedup.exact_dedup(docs).where("kept").select("doc_id", F.col("text_sha256").alias("__digest"))
     return _keep(keyed, kept).dropDuplicates(["doc_id", "__digest"]).select(*docs.columns)
@@ -62,14 +64,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them, sorted by their place in it over
-    the whole output: partitions, and the files written of them by name, follow the schedule."""
+    the whole output: partitions, and the files written of them by name, follow the schedule. A null
+    source is one source; an empty table stays empty."""
     mixed = mixing.mix(docs)
     return mixed.repartitionByRange("__slot", "__place").sortWithinPartitions("__slot", "__place").select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document of the mix, in the order of the mix: that of the files by
-    name and of the rows in them, which Spark's reader doesn't keep by itself."""
+    """Token ids of every document of the mix, and the digest of the text that they decode to, in
+    the order of the mix: that of the files by name and of the rows in them, which Spark's
+    reader doesn't keep by itself. A null text has no tokens."""
     place = ["__file", "__start", "__row"]
     rows = docs.select("doc_id", "source", "text", F.monotonically_increasing_id().alias("__row"))
     try:
@@ -77,7 +81,8 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     except AnalysisException:  # not read from files of one table: partitions are in order
         place = ["__row"]
     rows = rows.repartitionByRange(*place).sortWithinPartitions(*place)
-    return bpe.encode_documents(rows.select("doc_id", "source", "text")).select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    encoded = bpe.encode_documents(rows.select("doc_id", "source", "text")).select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    return bpe.decode_documents(encoded).withColumn("decoded_sha256", F.sha2("decoded", 256)).drop("decoded")
 
 
 STAGES = [
@@ -95,5 +100,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        discard(before)  # the table of documents isn't one of ours
     return docs
