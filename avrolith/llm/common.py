@@ -64,9 +64,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def discard(df: DataFrame) -> None:
-    """Delete a table of materialize() that nothing reads any more."""
-    remove_path(df.sparkSession, df._scratch_path)
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of materialize() that nothing reads any more, not even on recomputation: what
+    was made of them has been materialised. Others are left alone."""
+    for df in tables:
+        path = getattr(df, "_scratch_path", None)
+        if path is not None:
+            remove_path(df.sparkSession, path)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -90,7 +94,8 @@ def lookup_join(big: DataFrame, table: DataFrame, keys: list[str], count: str, t
     values = [c for c in table.columns if c not in keys]
     is_hot = hot(count, total, big.sparkSession)
     hot_ones = table.where(is_hot).select(*[F.col(k).alias(f"__h_{k}") for k in keys], F.struct(*values).alias("__hot"))
-    cold = table.where(~is_hot).select(*[F.col(k).alias(f"__c_{k}") for k in keys], F.lit(-1).cast("long").alias("__own"), F.struct(*values).alias("__cold"))
+    # -1 by way of the count: the optimizer would fold a literal and shuffle by the keys alone
+    cold = table.where(~is_hot).select(*[F.col(k).alias(f"__c_{k}") for k in keys], F.least(F.col(count), F.lit(-1)).cast("long").alias("__own"), F.struct(*values).alias("__cold"))
     out = big.join(F.broadcast(hot_ones), [F.col(k).eqNullSafe(F.col(f"__h_{k}")) for k in keys], "left")
     own = F.when(F.col("__hot").isNull(), F.lit(-1).cast("long")).otherwise(F.abs(F.col(spread)))
     out = out.withColumn("__own_l", own)
