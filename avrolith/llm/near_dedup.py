@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from avrolith.llm.common import hot, lookup_join, materialize, mix64, shuffle_partitions, slices, span_hashes, text_buffers
+from avrolith.llm.common import discard, hot, lookup_join, materialize, mix64, shuffle_partitions, slices, span_hashes, text_buffers
 
 SHINGLE = 5
 THRESHOLD = 80  # per cent
@@ -470,8 +470,13 @@ def _texts(keyed: DataFrame, classes: DataFrame, wanted: DataFrame, total: int)
     found = keyed.join(often, ["id", "h"]).groupBy("rep").agg(once)
     others = keyed.join(often, ["id", "h"], "left_anti").join(wanted.where(~is_hot).select("rep", "id", "h").hint("merge"), ["id", "h"])
     found = materialize(found.union(others.select("rep", "text")), "texts")
-    # a row that is repeated gives its text again
-    return found if found.count() == wanted.count() else materialize(found.groupBy("rep").agg(once), "texts-once")
+    whole = found.count() == wanted.count()
+    discard(wanted)
+    if whole:
+        return found
+    distinct = materialize(found.groupBy("rep").agg(once), "texts-once")  # a row that is repeated gave its text again
+    discard(found)
+    return distinct
 
 
 def _links(pairs: DataFrame, keyed: DataFrame, classes: DataFrame, total: int, k: int, threshold: int) -> DataFrame:
@@ -484,7 +489,9 @@ def _links(pairs: DataFrame, keyed: DataFrame, classes: DataFrame, total: int, k
     text_a = of.select(F.col("rep").alias("a"), F.col("text").alias("text_a"))
     text_b = of.select(F.col("rep").alias("b"), F.col("text").alias("text_b"))
     joined = pairs.join(text_a, "a").join(text_b, "b").select("a", "b", "text_a", "text_b")
-    return materialize(joined.mapInArrow(_verify(k, threshold), "a long, b long"), "links")
+    links = materialize(joined.mapInArrow(_verify(k, threshold), "a long, b long"), "links")
+    discard(pairs, of)
+    return links
 
 
 # --- components -------------------------------------------------------------
@@ -549,7 +556,8 @@ def components(links: DataFrame) -> DataFrame:
         large = materialize(with_least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large")
         small = with_least(large)
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        edges = materialize(small, "edges")
+        before, edges = edges, materialize(small, "edges")
+        discard(before, both, large)
     return edges.select(F.col("u").alias("id"), F.col("v").alias("comp")).union(edges.select(F.col("v").alias("id"), F.col("v").alias("comp")).distinct())
 
 
@@ -584,11 +592,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sorted_ = full.select("bucket", "block", "rep", "n", "regs").repartition(parts, "bucket", "block").sortWithinPartitions("bucket", "block")
     links = _links(sorted_.mapInArrow(_forests(threshold), "a long, b long"), keyed, classes, total, k, threshold)
     comps = materialize(components(links), "components")
+    discard(links)
 
     # What is left: buckets with members in different components.
     labelled = members.join(comps.withColumnRenamed("id", "rep"), "rep", "left")
     labelled = materialize(labelled.select("rep", "band", "bucket", F.coalesce("comp", "rep").alias("comp"), "n"), "labelled")
     by_comp = labelled.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("w"))
+    discard(members, sizes)
     open_ = by_comp.groupBy("bucket").agg(F.count(F.lit(1)).alias("comps"), F.sum("c").alias("size"), F.sum("w").alias("weight"), F.max(F.struct("c", "comp", "w")).alias("top")).where("comps > 1")
     open_ = materialize(open_.select("bucket", "size", "weight", F.col("top.comp").alias("home"), F.col("top.c").alias("n_home"), F.col("top.w").alias("w_home")), "open")
     left = lookup_join(labelled.withColumn("spread", F.xxhash64("rep", "bucket")), open_, ["bucket"], "size", n_entries, "spread")
@@ -602,9 +612,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     left = left.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.expr("cast(block <= other as int)").alias("side"), "band", "comp", "rep", "n").join(classes.select("rep", "regs"), "rep")
     left = left.select("bucket", "i", "j", "side", "band", "comp", "rep", "n", "regs").repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
     wanted = materialize(left.mapInArrow(_wanted(threshold), "bucket long, i int, j int, comp long, rep long"), "wanted")
+    discard(labelled, open_)
     of = _texts(keyed, classes, wanted.select("rep").distinct(), total)
     full = wanted.join(of, "rep").select("bucket", "i", "j", "comp", "rep", "text").repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
     more = materialize(full.mapInArrow(_crosswise(k, threshold), "a long, b long"), "more-links")
+    discard(of, wanted)
 
     # Components of components; each has the smallest id of its classes.
     classes = classes.select("rep", "id", "n", "s1", "s2", "copies").join(comps.withColumnRenamed("id", "of").withColumnRenamed("comp", "inner"), F.col("rep") == F.col("of"), "left").withColumn("inner", F.coalesce("inner", "rep"))

@@ -13,7 +13,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from avrolith.llm import bpe, exact_dedup, html_extract, language_id, mixing, near_dedup, quality, toxicity, url_filters, warc
+from avrolith.llm import bpe, common, exact_dedup, html_extract, language_id, mixing, near_dedup, quality, toxicity, url_filters, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, id long, name string, g string, spread long, n long, score double"
 
@@ -41,6 +41,20 @@ def rows_of(df):
     return sorted((tuple(r) for r in df.collect()), key=repr)
 
 
+def test_lookup_join_spreads_hot_keys(spark):
+    """Rows of a hot key find their values, and are dealt by more than the key."""
+    big = spark.range(4000).selectExpr("if(id < 3000, 1, id % 500) as k", "id as spread", "concat('t', id) as t")
+    table = big.groupBy("k").count().selectExpr("k", "count as n", "k * 2 as v", "repeat('x', 10) as w")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = common.lookup_join(big, table, ["k"], "n", 4000, "spread")
+        assert all(r.v == 2 * r.k for r in out.collect()) and out.count() == 4000
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert re.search(r"hashpartitioning\(k#\d+L?, __own_l#\d+L?", plan), plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 # --- 1 ------------------------------------------------------------------------
 
 
@@ -408,6 +422,47 @@ def test_toxicity_features_are_exact(monkeypatch):
     assert weights.of(np.array([h[bad], h[good]]).view(np.uint64)).tolist() == [2.0, 0.0]
 
 
+def test_toxicity_of_disguised_words_in_the_tables(spark):
+    """Toxic held-out texts of the tables stay toxic with their insults disguised; others stay clean with words disguised."""
+    sf = "/root/testdata/sf0.1"
+    rng = random.Random(12)
+    insults = "trash pathetic idiot disgusting worthless stupid clown scum loser moron".split()
+    leet = {"a": "4@", "i": "1!", "o": "0", "e": "3", "s": "5$", "t": "7"}
+
+    def disguise(m):
+        w, way = m.group(), rng.randrange(4)
+        if way == 0:
+            return "".join(rng.choice(leet[c]) if c in leet and (i or c != "s") else c for i, c in enumerate(w.lower()))
+        if way == 1:
+            return " ".join(w)
+        if way == 2:
+            i = rng.randrange(1, len(w))
+            return w[:i] + w[i] * rng.randint(2, 4) + w[i + 1 :]
+        return w[0] + "".join("*" if c in "aeiou" else c for c in w[1:])
+
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    marks = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").where("toxic is not null").collect()}
+    out = {i for i in marks if zlib.crc32(str(i).encode()) % 3 == 1}
+    found = re.compile(r"\b(" + "|".join(insults) + r")\b", re.I)
+    rows, hidden, clean = [], [], []
+    for i, mark in marks.items():
+        text = docs[i]
+        if i in out and mark and len(found.findall(text)) > 2:
+            text = found.sub(disguise, text)
+            hidden.append(i)
+        elif i in out and not mark:
+            words = text.split(" ")
+            for j in rng.sample(range(len(words)), min(3, len(words))):
+                words[j] = re.sub(r"^[a-z]{4,}$", disguise, words[j])
+            text = " ".join(words)
+            clean.append(i)
+        rows.append((i, text))
+    learn = spark.createDataFrame([(i, m) for i, m in marks.items() if i not in out], "doc_id long, toxic int")
+    got = {r.doc_id: r.predicted for r in toxicity.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), learn).collect()}
+    caught, wrong = sum(got[i] for i in hidden) / len(hidden), sum(got[i] for i in clean) / len(clean)
+    assert len(hidden) > 50 and caught > 0.9 and wrong < 0.01, (len(hidden), caught, wrong)
+
+
 def test_toxicity_empty(spark, odd, empty):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert {r.score for r in toxicity.score(odd, none).collect()} == {0.0}
@@ -722,7 +777,7 @@ def test_urls(spark):
 # --- pipeline -------------------------------------------------------------------
 
 
-def test_pipeline(spark):
+def test_pipeline(spark, peer):
     import corpus_pipeline
 
     sf = "/root/testdata/sf0.001"
@@ -741,7 +796,11 @@ def test_pipeline(spark):
         if name != "bpe":
             assert out.schema.names == before.schema.names
         docs = out
-    assert docs.columns == ["doc_id", "source", "n_tokens", "ids"] and all(r.n_tokens == len(r.ids) for r in docs.collect())
+    assert docs.columns == ["doc_id", "source", "n_tokens", "ids", "decoded_sha256"]
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    for r in docs.collect():
+        ids = peer.encode(texts[r.doc_id], add_special_tokens=False).ids
+        assert r.ids == ids and r.n_tokens == len(ids) and r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
 
 
 def test_pipeline_odd(spark, odd):
