@@ -40,7 +40,7 @@ def expand_glob(pattern: str, options: dict | None = None) -> list[str]:
     """Sorted files of a pattern with * ? [ ] { } and **; none is an error."""
     found: set[str] = set()
     for one in expand_braces(pattern):
-        if "://" in one and not one.startswith("file://"):
+        if "://" in one and not one.startswith("file:"):
             from pyarrow import fs
 
             scheme, rest = one.split("://", 1)
@@ -51,7 +51,7 @@ def expand_glob(pattern: str, options: dict | None = None) -> list[str]:
             listed = files.get_file_info(fs.FileSelector(root, recursive=True, allow_not_found=True))
             found |= {f"{scheme}://{base}{i.path[len(root) :]}" for i in listed if i.type == fs.FileType.File and match.fullmatch(i.path[len(root) :])}
         else:
-            local = one.removeprefix("file://")
+            local = re.sub("^file:(//)?", "", one)
             found |= {p for p in _glob.glob(local, recursive=True, include_hidden=True) if os.path.isfile(p)}
     if not found:
         raise SourceNotFoundError(f"no file matches {pattern!r}")
