@@ -11,7 +11,8 @@ a table filled on demand. Decoding gathers token bytes through an offset table.
 
 Texts are worked off in runs of pretokens with incremental digests, so a very
 long text needs memory for one run only besides itself. The caches are
-cleared when they hold CACHE_ENTRIES entries.
+cleared when they hold CACHE_ENTRIES entries, and at the end of a task: a Python worker outlives
+its tasks, and what it keeps counts as its executor's memory in whatever runs there next.
 
 Defined results: a null or empty text has no tokens and the digests of no
 bytes; added special tokens in a text are encoded as such; repeated rows each
@@ -24,6 +25,7 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import ahocorasick
 import numpy as np
@@ -33,9 +35,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from avrolith.llm.common import texts
+from avrolith.llm.common import slices, text_buffers, texts
 
 CACHE_ENTRIES = 400_000
+#: Encoded rows are given out for so many bytes of text at a time, one row at least.
+PIECE_BYTES = 4 << 20
 #: Texts longer than this many characters are worked off in runs of pretokens.
 LONG_TEXT = 1 << 20
 RUN = 100_000
@@ -124,6 +128,12 @@ class Encoder:
         self.pretokens = regex.compile(_PATTERN)
         self.specials = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
 
+    def forget(self) -> None:
+        """Empty the caches."""
+        self.packed.clear()
+        self.packed.old = {}
+        self.pairs.clear()
+
     def compatible(self, left: int, right: int) -> bool:
         """Whether merging the bytes of both gives (left, right) again."""
         key = left << 32 | right
@@ -243,6 +253,24 @@ def encoder_of(content: bytes) -> Encoder:
     return _encoders[key]
 
 
+@contextmanager
+def _task(content: bytes) -> Iterator[Encoder]:
+    """The worker's encoder, whose caches go when the task ends."""
+    encoder = encoder_of(content)
+    try:
+        yield encoder
+    finally:
+        encoder.forget()
+        pa.default_memory_pool().release_unused()
+
+
+def _pieces(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of PIECE_BYTES of a text column."""
+    if batch.num_rows:
+        for start, end in slices(text_buffers(batch.column(column))[1], PIECE_BYTES):
+            yield batch.slice(start, end - start)
+
+
 def default_tokenizer() -> str:
     import public_tokenizers
 
@@ -255,20 +283,33 @@ def _content(spark, tokenizer: str | None):
         return spark.sparkContext.broadcast(f.read())
 
 
-def encode_documents(docs: DataFrame, text_col: str = "text", ids_col: str = "ids", tokenizer: str | None = None) -> DataFrame:
-    """docs with ids_col: array<int>, the text's token ids (a column of that name is replaced)."""
+def encode_documents(docs: DataFrame, text_col: str = "text", ids_col: str = "ids", tokenizer: str | None = None, digest_col: str | None = None) -> DataFrame:
+    """docs with ids_col: array<int>, the text's token ids, and with digest_col, if one is named: the
+    SHA-256 of the bytes that these ids decode to (columns of these names are replaced)."""
     shared = _content(docs.sparkSession, tokenizer)
 
-    names = [c for c in docs.columns if c != ids_col]
-    fields = [f for f in docs.schema if f.name != ids_col]
+    added = [StructField(ids_col, ArrayType(IntegerType())), *([StructField(digest_col, StringType())] if digest_col else [])]
+    fields = [f for f in docs.schema if f.name not in (ids_col, digest_col)]
+    names = [f.name for f in fields]
+    at = names.index(text_col)
 
     def run(batches):
-        encoder = encoder_of(shared.value)
-        for batch in batches:
-            out = [np.frombuffer(b"".join(encoder.runs(t)), dtype="<i4") for t in texts(batch.column(names.index(text_col)))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(pa.int32()))], names=[*names, ids_col])
-
-    return docs.select(*names).mapInArrow(run, StructType([*fields, StructField(ids_col, ArrayType(IntegerType()))]))
+        with _task(shared.value) as encoder:
+            for batch in batches:
+                for piece in _pieces(batch, at):
+                    out, digests = [], []
+                    for text in texts(piece.column(at)):
+                        packed = list(encoder.runs(text))
+                        out.append(np.frombuffer(b"".join(packed), dtype="<i4"))
+                        if digest_col:
+                            digest = hashlib.sha256()
+                            for x in packed:
+                                digest.update(encoder.decode_bytes(np.frombuffer(x, dtype="<u4").astype(np.int64)))
+                            digests.append(digest.hexdigest())
+                    new = [pa.array(out, pa.list_(pa.int32())), *([pa.array(digests, pa.string())] if digest_col else [])]
+                    yield pa.RecordBatch.from_arrays([*piece.columns, *new], names=[*names, *[f.name for f in added]])
+
+    return docs.select(*names).mapInArrow(run, StructType([*fields, *added]))
 
 
 def decode_documents(docs: DataFrame, ids_col: str = "ids", text_col: str = "decoded", tokenizer: str | None = None) -> DataFrame:
@@ -278,10 +319,12 @@ def decode_documents(docs: DataFrame, ids_col: str = "ids", text_col: str = "dec
     fields = [f for f in docs.schema if f.name != text_col]
 
     def run(batches):
-        encoder = encoder_of(shared.value)
-        for batch in batches:
-            out = [encoder.decode(np.asarray(x or [], dtype=np.int64)) for x in batch.column(names.index(ids_col)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=[*names, text_col])
+        with _task(shared.value) as encoder:
+            for batch in batches:
+                # row by row from the buffers: a batch's ids as Python objects take ten times the memory
+                rows = (x.values for x in batch.column(names.index(ids_col)))
+                out = [encoder.decode(x.to_numpy()) if x is not None else "" for x in rows]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=[*names, text_col])
 
     return docs.select(*names).mapInArrow(run, StructType([*fields, StructField(text_col, StringType())]))
 
@@ -292,19 +335,19 @@ def token_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     shared = _content(docs.sparkSession, tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_of(shared.value)
-        for batch in batches:
-            counts, id_digests, text_digests = [], [], []
-            for text in texts(batch.column(1)):
-                a, b, n = hashlib.sha256(), hashlib.sha256(), 0
-                for packed in encoder.runs(text):
-                    a.update(packed)
-                    n += len(packed) // 4
-                    b.update(encoder.decode_bytes(np.frombuffer(packed, dtype="<u4").astype(np.int64)))
-                counts.append(n)
-                id_digests.append(a.hexdigest())
-                text_digests.append(b.hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(id_digests), pa.array(text_digests)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        with _task(shared.value) as encoder:
+            for batch in batches:
+                counts, id_digests, text_digests = [], [], []
+                for text in texts(batch.column(1)):
+                    a, b, n = hashlib.sha256(), hashlib.sha256(), 0
+                    for packed in encoder.runs(text):
+                        a.update(packed)
+                        n += len(packed) // 4
+                        b.update(encoder.decode_bytes(np.frombuffer(packed, dtype="<u4").astype(np.int64)))
+                    counts.append(n)
+                    id_digests.append(a.hexdigest())
+                    text_digests.append(b.hexdigest())
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(id_digests), pa.array(text_digests)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return source.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -81,8 +81,8 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     except AnalysisException:  # not read from files of one table: partitions are in order
         place = ["__row"]
     rows = rows.repartitionByRange(*place).sortWithinPartitions(*place)
-    encoded = bpe.encode_documents(rows.select("doc_id", "source", "text")).select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
-    return bpe.decode_documents(encoded).withColumn("decoded_sha256", F.sha2("decoded", 256)).drop("decoded")
+    encoded = bpe.encode_documents(rows.select("doc_id", "source", "text"), digest_col="decoded_sha256")
+    return encoded.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded_sha256")
 
 
 STAGES = [

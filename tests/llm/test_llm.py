@@ -9,6 +9,7 @@ import time
 import types
 import zlib
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -170,6 +171,35 @@ def test_bpe_documents(odd, empty, peer):
     assert bpe.token_digests(empty).count() == 0
 
 
+def test_bpe_digest_with_the_ids(odd, empty, peer, monkeypatch):
+    """One pass gives the ids and the digest of what they decode to; rows are given out by PIECE_BYTES of text."""
+    out = bpe.encode_documents(odd, digest_col="name")
+    assert out.columns == [*[c for c in odd.columns if c != "name"], "ids", "name"]
+    want = [(i, t, peer.encode(t or "", add_special_tokens=False).ids, hashlib.sha256((t or "").encode()).hexdigest()) for i, t, _, _ in ODD]
+    assert rows_of(out.select("doc_id", "text", "ids", "name")) == sorted(want, key=repr)
+    assert bpe.encode_documents(empty, digest_col="name").count() == 0
+    monkeypatch.setattr(bpe, "PIECE_BYTES", 1)
+    batch = pa.record_batch({"text": [LONG, None, "", LONG, "x"]})
+    assert [x.num_rows for x in bpe._pieces(batch, 0)] == [1, 2, 1, 1] and pa.Table.from_batches(bpe._pieces(batch, 0)).to_pylist() == batch.to_pylist()
+
+
+def test_bpe_workers_keep_no_caches(spark):
+    """What a task cached is gone when it has ended: idle workers count as their executor's memory."""
+
+    def held(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            n = sum(len(e.packed) + len(e.packed.old) + len(e.pairs) for e in bpe._encoders.values())
+            yield pa.RecordBatch.from_arrays([pa.array([n] * batch.num_rows, pa.int64()), pa.array([len(bpe._encoders)] * batch.num_rows, pa.int64())], names=["n", "encoders"])
+
+    docs = spark.range(0, 400, 1, 4).selectExpr("id as doc_id", "concat('Wort', id * 7919, ' xqz', id) as text")
+    for made in (bpe.encode_documents(docs), bpe.decode_documents(bpe.encode_documents(docs)), bpe.token_digests(docs)):
+        made.write.format("noop").mode("overwrite").save()
+        found = spark.range(0, 64, 1, 16).mapInArrow(held, "n long, encoders long").agg({"n": "max", "encoders": "max"}).first()
+        assert found["max(encoders)"] == 1 and found["max(n)"] == 0
+
+
 # --- 4 ------------------------------------------------------------------------
 
 
@@ -803,6 +833,14 @@ def test_pipeline(spark, peer):
         assert r.ids == ids and r.n_tokens == len(ids) and r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
 
 
+def test_pipeline_encodes_in_one_worker(spark, odd):
+    """A task of the last stage has one Python worker, that encodes and decodes."""
+    import corpus_pipeline
+
+    plan = corpus_pipeline.encode(spark, odd, "")._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall("MapInArrow", plan)) == 1, plan
+
+
 def test_pipeline_odd(spark, odd):
     import corpus_pipeline
 
